@@ -5,22 +5,96 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import near
+from . import lines, near, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's shard, of 40, and place there, under law `bytes`."""
+    out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
+
+
+def op5_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's near-duplicate class."""
     return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size", "is_rep")
 
 
+def op8_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the lines that ten documents or more have."""
+    out = lines.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), limit=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's counts and verdict."""
+    out = quality.quality(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_bag_minhash,)}
+    return {f.__name__: f for f in (op4_virtual_slots, op5_sum_of_squares, op7_bag_minhash, op8_line_runs, op9_line_frequency)}
+
+
+_OP8 = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+k AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+m AS (SELECT k.*, f.key IS NOT NULL AS gone FROM k LEFT JOIN f ON k.key = f.key)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+_OP9 = r"""
+WITH l AS (
+  SELECT doc_id, coalesce(source, '') AS host, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(generate_series(1, len(string_split(coalesce(text, ''), chr(10))))) AS pos
+  FROM documents),
+k AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
+n AS (SELECT doc_id, host, pos, line, len(ws) AS w,
+             translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+      FROM k WHERE len(ws) > 0),
+c AS (SELECT *, coalesce(lag('a' || key) OVER d, '') || chr(10) || coalesce(lead('a' || key) OVER d, '') AS around,
+             row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS seen
+      FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+o AS (SELECT host, key FROM c WHERE seen = 1 GROUP BY host, key
+      HAVING count(*) > 10 AND 100 * count(DISTINCT around) >= 50 * count(*)),
+r AS (SELECT doc_id, sum(w) AS removed FROM n JOIN o USING (host, key) GROUP BY doc_id),
+dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM n GROUP BY doc_id),
+ww AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i
+       FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents) t WHERE len(ws) > 0),
+wi AS (SELECT doc_id, i, word, CASE WHEN lead(word, 4) OVER d IS NOT NULL THEN
+             word || ' ' || lead(word, 1) OVER d || ' ' || lead(word, 2) OVER d || ' ' || lead(word, 3) OVER d || ' ' || lead(word, 4) OVER d END AS win
+       FROM ww WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+wc AS (SELECT *, CASE WHEN win IS NOT NULL AND count(*) OVER (PARTITION BY doc_id, win) > 1 THEN 1 ELSE 0 END AS rep FROM wi),
+wr AS (SELECT doc_id, word, max(rep) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS rep FROM wc),
+s AS (SELECT doc_id, count(*) AS n_words, sum(length(word)) AS word_chars, sum(rep) AS n_repeat_words FROM wr GROUP BY doc_id),
+a AS (SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars,
+             len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0) AS removed
+      FROM documents d LEFT JOIN s USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN r USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,
+       CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND 100 * (n_words - removed) >= 30 * n_words AS kept
+FROM a
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_line_runs": _OP8, "op9_line_frequency": _OP9}
