@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, near, packing, quality, sharding
+from . import langid, lines, near, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's language, learned from three quarters of them."""
+    return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's shard, of 40, and place there, under law `bytes`."""
     out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
@@ -43,7 +48,7 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_virtual_slots, op5_sum_of_squares, op7_bag_minhash, op8_line_runs, op9_line_frequency)}
+    return {f.__name__: f for f in (op1_language_bitmasks, op4_virtual_slots, op5_sum_of_squares, op7_bag_minhash, op8_line_runs, op9_line_frequency)}
 
 
 _OP8 = r"""
