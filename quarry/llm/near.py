@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, maybe_broadcast, text_hash, written
+from .common import BLANKS, components, maybe_broadcast, text_hash, written
 
 #: Registers that agree by chance: one byte of each is kept.
 CHANCE = 1 / 256
@@ -259,10 +259,13 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs without near duplicates: of each class the row of its representative, once, with all columns of docs."""
-    reps = near_duplicates(docs.select("doc_id", "text"), **options).filter("is_rep").select(F.col("doc_id").alias("__d"), F.col("thash").alias("__h"), F.lit(1).alias("__k")).distinct()
-    blank = F.trim(F.translate(F.coalesce("text", F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    marked = docs.withColumn("__t", text_hash("text"))
-    kept = marked.join(reps, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")))
-    order = Window.partitionBy("__d", "__h").orderBy(F.lit(1))
-    kept = kept.withColumn("__n", F.row_number().over(order)).filter((F.col("__n") == 1) | blank)
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    found = written(near_duplicates(docs.select("doc_id", "text"), **options).select(F.col("doc_id").alias("__d"), F.col("thash").alias("__h"), "is_rep", "class_size"), "classes")
+    lost = written(found.filter("not is_rep").select("__d", "__h").distinct(), "lost")
+    kept = docs.withColumn("__t", text_hash("text"))
+    kept = kept.join(maybe_broadcast(lost), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left_anti")
+    again = found.filter("is_rep and class_size > 1").groupBy("__d", "__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if again.limit(1).count():  # whole rows are repeated: one stays
+        blank = F.trim(F.coalesce("text", F.lit("")), F.lit(BLANKS)) == ""
+        order = Window.partitionBy("doc_id", "__t").orderBy(F.lit(1))
+        kept = kept.withColumn("__n", F.row_number().over(order)).filter((F.col("__n") == 1) | blank)
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lines, near, packing, quality, sharding
+from . import decontam, langid, lines, near, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,13 @@ def op9_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality.COUNTS, "base_failed", "kept")
 
 
+def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that carry items of the benchmark."""
+    return decontam.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark")).drop("thash")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_bitmasks, op4_virtual_slots, op5_sum_of_squares, op7_bag_minhash, op8_line_runs, op9_line_frequency)}
+    return {f.__name__: f for f in (op1_language_bitmasks, op4_virtual_slots, op5_sum_of_squares, op7_bag_minhash, op8_line_runs, op9_line_frequency, op10_template_windows)}
 
 
 _OP8 = r"""
