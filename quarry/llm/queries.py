@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, near, packing, quality, sharding
+from . import decontam, langid, lines, lm, near, packing, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op5_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_class_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's log10 probability, learned from six sevenths of them."""
+    return lm.scores(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's near-duplicate class."""
     return near.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_size", "is_rep")
@@ -53,7 +58,7 @@ def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_bitmasks, op4_virtual_slots, op5_sum_of_squares, op7_bag_minhash, op8_line_runs, op9_line_frequency, op10_template_windows)}
+    return {f.__name__: f for f in (op1_language_bitmasks, op4_virtual_slots, op5_sum_of_squares, op6_class_maxent, op7_bag_minhash, op8_line_runs, op9_line_frequency, op10_template_windows)}
 
 
 _OP8 = r"""
