@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, lm, near, packing, quality, sharding
+from . import decontam, langid, license, lines, lm, near, packing, pii, quality, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,16 @@ def op1_language_bitmasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
 
+def op2_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where documents carry license notices."""
+    return license.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by pseudonyms."""
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's shard, of 40, and place there, under law `bytes`."""
     out = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=40)
@@ -58,7 +68,7 @@ def op10_template_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_bitmasks, op4_virtual_slots, op5_sum_of_squares, op6_class_maxent, op7_bag_minhash, op8_line_runs, op9_line_frequency, op10_template_windows)}
+    return {f.__name__: f for f in (op1_language_bitmasks, op2_license_alignment, op3_feistel_pseudonyms, op4_virtual_slots, op5_sum_of_squares, op6_class_maxent, op7_bag_minhash, op8_line_runs, op9_line_frequency, op10_template_windows)}
 
 
 _OP8 = r"""
