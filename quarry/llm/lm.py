@@ -12,8 +12,8 @@ beside the commonest words, taken from about PROFILE_DOCS training documents (a
 
 Training is parameter mixing: each partition takes gradient steps (Adagrad by row) on minibatches of
 its training documents, starting from shared weights; touched rows are averaged, weighted by their
-updates, in a tree of merges; then the next round starts. Each round takes every `stride`-th position
-(by hash) of all training documents. Counts are exact and over all training documents. For scoring,
+updates, in a tree of merges; then the next round starts. Each training document belongs to one round
+(by hash), and one position in `stride` (by hash) gives a gradient. Counts are exact and over all training documents. For scoring,
 documents are dealt to blocks of bounded bytes and each block meets the counts of just its own words.
 """
 
@@ -28,37 +28,42 @@ from pyspark.sql import functions as F
 from . import kernels as K
 from .common import in_training, text_hash, written
 
-HEADS, SIZE, TAILS = 32, 32, 32
+HEADS, SIZE, TAILS = 24, 40, 24
 CLASSES = HEADS + TAILS
 #: Rows of the two weight tables; with their float32 rows 4 MB each.
 ROWS_C, ROWS_W = 1 << 14, 1 << 15
 #: Word endings told apart, context words and groups of the clustering, and documents that it samples.
 ENDINGS, CONTEXT, GROUPS, PROFILE_DOCS = 4096, 64, 8, 20_000
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 16 << 20
 FAN_IN, CHUNK = 256, 1024
-BATCH = 4096
+BATCH = 2048
+#: Weights stay within this.
+LIMIT = 12.0
 _U = np.uint64
 END, START = _U(0x51ED270B90F1E4C7), _U(0x2545F4914F6CDD1D)
 
 
+_CODE = np.arange(1, 257)
+_CODE[65:91] += 32
+
+
 class Tokens:
     """Folded words of a group's documents with an end behind each document."""
 
     def __init__(self, g: K.Group):
         s, e = g.words()
         doc = g.doc_of(s)
-        h = K.span(K.prefix(K.FOLD[g.data]), s, e)
-        n = np.bincount(doc, minlength=g.n)
-        self.n = n + 1
+        self.n = np.bincount(doc, minlength=g.n) + 1
         self.hash = np.full(len(s) + g.n, END, _U)
         self.doc = np.repeat(np.arange(g.n), self.n)
         at = np.arange(len(s)) + doc
-        self.hash[at] = h
-        self.tail = np.zeros(len(self.hash), np.int64)
-        low, ending = K.FOLD[g.data], np.zeros(len(s), _U)
-        for k in (1, 2, 3):
-            ending = K.mix(ending ^ np.where(e - s >= k, low[np.maximum(e - k, 0)] if len(low) else _U(0), _U(0)))
-        self.tail[at] = (ending % _U(ENDINGS)).astype(np.int64)
+        self.hash[at] = K.span(K.prefix(K.FOLD[g.data]), s, e)
+        self.tail = np.zeros(len(self.hash), np.int32)
+        if len(s):
+            # The last three bytes, with 0 before the word's first.
+            own = e - s
+            ending = _CODE[g.data[e - 1]] + 257 * np.where(own > 1, _CODE[g.data[e - 2]], 0) + 66049 * np.where(own > 2, _CODE[g.data[e - 3]], 0)
+            self.tail[at] = (ending * np.int64(2654435761) >> 16) & (ENDINGS - 1)
         self.place = np.arange(len(self.hash)) - np.repeat(np.cumsum(self.n) - self.n, self.n)
 
     def back(self, values: np.ndarray, k: int, start) -> np.ndarray:
@@ -75,8 +80,12 @@ class Model:
     def __init__(self, words: np.ndarray, counts: np.ndarray, tail_class: np.ndarray, tails: np.ndarray):
         """words, counts: the head words in class order; tail_class: of the endings; tails: (TAILS, 2) tokens and distinct words."""
         self.tail_class = tail_class
-        order = np.argsort(words)
-        self.words, self.rank = words[order], order
+        self.words, self.counts = np.append(words, _U(0)), np.append(counts, 0).astype(np.int64)
+        self.salt = 0  # until no two words share a place
+        while len(np.unique(self.place(words))) < len(words):
+            self.salt += 1
+        self.table = np.full(1 << 18, len(words), np.int32)
+        self.table[self.place(words)] = np.arange(len(words))
         inner = np.full((HEADS, SIZE), -1e9, np.float32)
         inner.ravel()[: len(words)] = np.log(counts + 1.0)
         self.inner = inner
@@ -88,58 +97,58 @@ class Model:
         self.bias[:HEADS][heads == 0] = -1e9
         self.theta_c, self.theta_w = np.zeros((ROWS_C, CLASSES), np.float32), np.zeros((ROWS_W, SIZE), np.float32)
 
+    def place(self, h: np.ndarray) -> np.ndarray:
+        return ((h ^ _U(self.salt)) * _U(0x9E3779B97F4A7C15) >> _U(46)).astype(np.int64)
+
     def head(self, h: np.ndarray) -> np.ndarray:
         """Ranks of head words, -1 for others."""
-        if not len(self.words):
-            return np.full(len(h), -1)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        return np.where(self.words[at] == h, self.rank[at], -1)
+        at = self.table[self.place(h)]
+        return np.where((self.words[at] == h) & (at < len(self.words) - 1), at, -1)
 
-    def features(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Head rank, class, and the rows of both weight tables, of each token."""
+    def features(self, t: Tokens, pick: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Head rank, class, and the rows of both weight tables, of the tokens picked."""
         head = self.head(t.hash)
         cls = np.where(head >= 0, head // SIZE, HEADS + self.tail_class[t.tail])
-        w1, w2 = t.back(t.hash, 1, START), t.back(t.hash, 2, START)
         code = cls.astype(_U)
-        c1, c2, c3 = (t.back(code, k, _U(CLASSES)) for k in (1, 2, 3))
-        keys = [K.mix(w1), K.mix(w1 ^ K.mix(w2 + _U(1))), K.mix(c1 + _U(1000) * c2 + _U(1 << 40)), K.mix(c2 + _U(1000) * c3 + _U(1 << 41))]
-        rows_c = np.stack([(k >> _U(20)) % _U(ROWS_C) for k in keys]).astype(np.int64)
-        inside = K.mix(code + _U(7))
-        rows_w = np.stack([(K.mix(k ^ inside) >> _U(20)) % _U(ROWS_W) for k in (keys[0], keys[2])]).astype(np.int64)
+        w1, w2 = t.back(t.hash, 1, START)[pick], t.back(t.hash, 2, START)[pick]
+        c1, c2, c3 = (t.back(code, k, _U(CLASSES))[pick] for k in (1, 2, 3))
+        head, cls, code = head[pick], cls[pick], code[pick]
+        keys = [K.mix(w1), K.mix(w1 + _U(3) * w2), K.mix(c1 + _U(1000) * c2 + _U(1 << 40)), K.mix(c2 + _U(1000) * c3 + _U(1 << 41))]
+        rows_c = np.stack([k >> _U(64 - ROWS_C.bit_length() + 1) for k in keys]).astype(np.int32)
+        inside = code * _U(0xA24BAED4963EE407) + _U(0x9E3779B97F4A7C15)
+        rows_w = np.stack([((k ^ inside) * _U(0xBF58476D1CE4E5B9)) >> _U(64 - ROWS_W.bit_length() + 1) for k in (keys[0], keys[2])]).astype(np.int32)
         return head, cls, rows_c, rows_w
 
     def class_logits(self, rows: np.ndarray) -> np.ndarray:
-        out = self.theta_c[rows[0]] + self.bias
+        out = self.theta_c.take(rows[0], 0)
+        out += self.bias
         for r in rows[1:]:
-            out += self.theta_c[r]
+            out += self.theta_c.take(r, 0)
         return out
 
     def word_logits(self, cls: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        out = self.inner[cls] + self.theta_w[rows[0]]
-        for r in rows[1:]:
-            out += self.theta_w[r]
+        out = self.inner.take(cls, 0)
+        for r in rows:
+            out += self.theta_w.take(r, 0)
         return out
 
     def log10(self, t: Tokens, count: np.ndarray) -> np.ndarray:
-        """log10 of each token's probability; count: its training count."""
+        """log10 of each token's probability; count: its training count. Logits are sums of a few bounded
+        weights, so their exponentials need no shift."""
         head, cls, rows_c, rows_w = self.features(t)
         out = np.empty(len(head))
         for a in range(0, len(head), BATCH):
             b = slice(a, a + BATCH)
             z = self.class_logits(rows_c[:, b])
             own = z[np.arange(len(z)), cls[b]]
-            top = z.max(1)
-            z -= top[:, None]
             np.exp(z, out=z)
-            out[b] = own - top - np.log(z.sum(1))
+            out[b] = own - np.log(z.sum(1))
             at = np.flatnonzero(head[b] >= 0)
             if len(at):
                 z = self.word_logits(cls[b][at], rows_w[:, b][:, at])
                 own = z[np.arange(len(z)), head[b][at] % SIZE]
-                top = z.max(1)
-                z -= top[:, None]
                 np.exp(z, out=z)
-                out[a + at] += own - top - np.log(z.sum(1))
+                out[a + at] += own - np.log(z.sum(1))
         tail = head < 0
         out[tail] += np.log((count[tail] + 1) / self.tail_total[cls[tail] - HEADS])
         return out / np.log(10)
@@ -163,20 +172,21 @@ class Steps:
             at, g = s[first], np.add.reduceat(grad[order], first, axis=0)
             seen[at] += np.diff(np.append(first, len(s)))
             square[at] += (g * g).mean(1)
-            table[at] -= self.rate * g / np.sqrt(square[at])[:, None]
+            new = table[at] - self.rate * g / np.sqrt(square[at])[:, None]
+            table[at] = np.clip(new, -LIMIT, LIMIT, out=new)
 
     def learn(self, head: np.ndarray, cls: np.ndarray, rows_c: np.ndarray, rows_w: np.ndarray) -> None:
         for a in range(0, len(head), BATCH):
             b = slice(a, a + BATCH)
             z = self.model.class_logits(rows_c[:, b])
-            z = np.exp(z - z.max(1, keepdims=True))
+            np.exp(z, out=z)
             z /= z.sum(1, keepdims=True)
             z[np.arange(len(z)), cls[b]] -= 1
             at = np.flatnonzero(head[b] >= 0)
             if len(at):
                 own = rows_w[:, b][:, at]
                 w = self.model.word_logits(cls[b][at], own)
-                w = np.exp(w - w.max(1, keepdims=True))
+                np.exp(w, out=w)
                 w /= w.sum(1, keepdims=True)
                 w[np.arange(len(w)), head[b][at] % SIZE] -= 1
                 self.update(1, own, w)
@@ -247,7 +257,7 @@ def _classes(profile: np.ndarray, head_n: np.ndarray, ending_n: np.ndarray) -> t
 _MIXED = "part long, which int, chunk int, seen binary, sums binary"
 
 
-def _train(shared, stride: int, round_: int, rate: float):
+def _train(shared, stride: int, rate: float):
     def run(batches):
         import copy
 
@@ -263,9 +273,8 @@ def _train(shared, stride: int, round_: int, rate: float):
         for batch in batches:
             for g in K.groups(batch.column(0)):
                 t = Tokens(g)
-                pick = np.flatnonzero(K.mix(t.hash + t.place.astype(_U) * _U(31)) % _U(stride) == _U(round_ % stride))
-                head, cls, rows_c, rows_w = model.features(t)
-                held.append((head[pick], cls[pick], rows_c[:, pick], rows_w[:, pick]))
+                pick = np.flatnonzero(K.mix(t.hash + t.place.astype(_U) * _U(31)) % _U(stride) == 0)
+                held.append(model.features(t, pick))
                 if sum(len(x[0]) for x in held) >= BATCH:
                     flush()
         flush()
@@ -297,12 +306,12 @@ def _merge(batches):
                                      pa.schema([("part", pa.int64()), ("which", pa.int32()), ("chunk", pa.int32()), ("seen", pa.binary()), ("sums", pa.binary())]))
 
 
-def train(texts: DataFrame, model: Model, *, rounds: int = 2, stride: int = 16, rate: float = 0.3) -> Model:
-    """The model after `rounds` of parameter mixing over a one-column DataFrame of texts."""
+def train(texts: DataFrame, model: Model, *, rounds: int = 2, stride: int = 8, rate: float = 0.3) -> Model:
+    """The model after `rounds` of parameter mixing over a one-column DataFrame of texts, each text in one round."""
     sc = texts.sparkSession.sparkContext
     for round_ in range(rounds):
         shared = sc.broadcast(model)
-        mixed = texts.mapInArrow(_train(shared, stride, round_, rate), _MIXED)
+        mixed = texts.filter(F.pmod(F.shiftright(text_hash("text"), 20), F.lit(rounds)) == round_).mapInArrow(_train(shared, stride, rate), _MIXED)
         parts = texts.rdd.getNumPartitions()
         while True:
             mixed = mixed.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "which", "chunk").applyInArrow(lambda t: pa.Table.from_batches(_merge(t.to_batches())), _MIXED)
@@ -320,14 +329,17 @@ def train(texts: DataFrame, model: Model, *, rounds: int = 2, stride: int = 16,
 def _word_counts(batches):
     """(h, tail, n): the words of the training texts, counted by group."""
     for batch in batches:
-        for g in K.groups(batch.column(0), 16 << 20):
+        for g in K.groups(batch.column(0), 4 << 20):
             t = Tokens(g)
             h, first, n = np.unique(t.hash, return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t.tail[first].astype(np.int32)), pa.array(n)], ["h", "tail", "n"])
 
 
 def _block_words(table: pa.Table) -> pa.Table:
-    seen = [np.unique(Tokens(g).hash) for g in K.groups(table["text"])]
+    seen = []
+    for g in K.groups(table["text"]):
+        s, e = g.words()
+        seen.append(np.unique(np.append(K.span(K.prefix(K.FOLD[g.data]), s, e), END)))
     h = np.unique(np.concatenate(seen))
     return pa.table({"block": pa.array(np.full(len(h), table["block"][0].as_py(), np.int64)), "h": pa.array(h.view(np.int64))})
 
@@ -340,9 +352,11 @@ def _score(shared, n: int, v: int):
         h, count = h[order], words["c"].to_numpy()[order]
         for g in K.groups(docs["text"].combine_chunks()):
             t = Tokens(g)
-            at = np.searchsorted(h, t.hash)
-            assert (h[np.minimum(at, len(h) - 1)] == t.hash).all(), "a block's words must all be in its dictionary"
-            c = count[at]
+            head = model.head(t.hash)
+            c, rest = model.counts[head], np.flatnonzero(head < 0)
+            at = np.minimum(np.searchsorted(h, t.hash[rest]), len(h) - 1)
+            assert (h[at] == t.hash[rest]).all(), "a block's words must all be in its dictionary"
+            c[rest] = count[at]
             base = np.bincount(t.doc, np.log10((c + 1) / (n + v + 1)), g.n)
             out.append((t.n, np.bincount(t.doc[c > 0], minlength=g.n), base, np.bincount(t.doc, model.log10(t, c), g.n)))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
@@ -352,7 +366,7 @@ def _score(shared, n: int, v: int):
     return run
 
 
-def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2, stride: int = 16, profile_docs: int = PROFILE_DOCS) -> DataFrame:
+def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2, stride: int = 8, profile_docs: int = PROFILE_DOCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
     Learns from the rows whose crc32(doc_id as text) mod `mod` is not `out`. Tokens are the words, A-Z
