@@ -97,7 +97,8 @@ def drop_lines(docs: DataFrame, *, limit: int = 10, batches: int = 4, runs: Line
     The key is the line without blanks at its ends, A-Z lower-cased; empty keys are kept. A null or
     empty text is one empty line and gives ''. Each row is a document of its own, also repeated rows
     and null ids. With `runs`, documents counted there earlier count too. Other columns stay as they
-    are; names beginning with __ are taken. An empty table gives an empty result.
+    are, but for those named like the three new ones; names beginning with __ are taken. An empty
+    table gives an empty result.
     """
     runs = runs or LineRuns(docs.sparkSession, limit=limit)
     keyed = keyed_lines(docs)
@@ -112,4 +113,5 @@ def drop_lines(docs: DataFrame, *, limit: int = 10, batches: int = 4, runs: Line
     left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
     marked = marked.withColumn("__lines", lines)
     kept = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], F.size("__lines").cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
+    return marked.select(*own, F.size("__lines").cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_dropped"), kept.alias("kept_text"))
