@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +47,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shipped(df: DataFrame) -> DataFrame:
+    """df, with this package sent to the executors once, so that their Python workers can import it wherever it lies here."""
+    sc = df.sparkSession.sparkContext
+    if getattr(sc, "_quarry_shipped", False):
+        return df
+    root = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="quarry-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/quarry.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    sc.addPyFile(f"{folder}/quarry.zip")
+    sc._quarry_shipped = True
+    return df
+
+
 def maybe_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for a written table of at most so many rows; beyond that Spark chooses another join."""
     return F.broadcast(small) if small.count() <= rows else small

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import in_training, text_hash
+from .common import in_training, shipped, text_hash
 
 UNKNOWN = "und"
 SIZES = (1, 2, 3, 4)
@@ -140,7 +140,7 @@ def fit(train: DataFrame, *, sample: int = 3000, grams: int = 30_000, sizes: tup
                     g, n = np.unique(h[(lang[owner] == k)[doc]], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array([k] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(n)], ["lang", "g", "n"])
 
-    got = train.mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).filter("n > 1")
+    got = shipped(train).mapInArrow(count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).filter("n > 1")
     whole = got.groupBy("lang").agg(F.sum("n").alias("total"))
     rate = got.join(F.broadcast(whole), "lang").withColumn("rate", F.col("n") / F.col("total"))
     rate = rate.withColumn("top", F.max("rate").over(Window.partitionBy("g"))).filter(F.col("rate") >= share * F.col("top"))
@@ -178,7 +178,7 @@ def predict(docs: DataFrame, filters: Filters | None, *, sizes: tuple[int, ...]
             names = [model.langs[b] if s and model else UNKNOWN for b, s in zip(best, some, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return shipped(docs).mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, *, mod: int = 4, out: int = 2, **options) -> DataFrame:

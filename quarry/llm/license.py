@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .common import shipped
 
 # Public notices and headers, as (license, text).
 TEMPLATES = (
@@ -160,4 +161,4 @@ def scan(docs: DataFrame, *, templates=TEMPLATES, gram: int = 3, window: int = 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names)
 
     schema = "doc_id long, license string, template int, matched_words long, template_words long, coverage double, start long, end long"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import in_training, text_hash, written
+from .common import in_training, shipped, text_hash, written
 
 HEADS, SIZE, TAILS = 24, 40, 24
 CLASSES = HEADS + TAILS
@@ -311,7 +311,7 @@ def train(texts: DataFrame, model: Model, *, rounds: int = 2, stride: int = 8, r
     sc = texts.sparkSession.sparkContext
     for round_ in range(rounds):
         shared = sc.broadcast(model)
-        mixed = texts.filter(F.pmod(F.shiftright(text_hash("text"), 20), F.lit(rounds)) == round_).mapInArrow(_train(shared, stride, rate), _MIXED)
+        mixed = shipped(texts).filter(F.pmod(F.shiftright(text_hash("text"), 20), F.lit(rounds)) == round_).mapInArrow(_train(shared, stride, rate), _MIXED)
         parts = texts.rdd.getNumPartitions()
         while True:
             mixed = mixed.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "which", "chunk").applyInArrow(lambda t: pa.Table.from_batches(_merge(t.to_batches())), _MIXED)
@@ -377,7 +377,7 @@ def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2, stri
     spark = docs.sparkSession
     learn = in_training("doc_id", mod, out)
     train_texts = docs.filter(learn).select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = train_texts.mapInArrow(_word_counts, "h long, tail int, n long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("c"))
+    counts = shipped(train_texts).mapInArrow(_word_counts, "h long, tail int, n long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("c"))
     counts = written(counts, "words")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     end = int(np.array(END).view(np.int64))
@@ -395,7 +395,7 @@ def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2, stri
         many = train_texts.count()
         some = train_texts.filter(F.pmod(text_hash("text"), F.lit(1 << 30)) < int(min(1.0, profile_docs / many) * (1 << 30)))
         profile = np.zeros((len(head) + ENDINGS, min(CONTEXT, len(head))))
-        for r in some.mapInArrow(_profile(head[:CONTEXT].view(_U), head.view(_U)), "unit int, beside int, n long").groupBy("unit", "beside").agg(F.sum("n").alias("n")).collect():
+        for r in shipped(some).mapInArrow(_profile(head[:CONTEXT].view(_U), head.view(_U)), "unit int, beside int, n long").groupBy("unit", "beside").agg(F.sum("n").alias("n")).collect():
             profile[r.unit, r.beside] = r.n
         order, tail_class = _classes(profile, head_n, ends[:, 0])
     tails = np.stack([np.bincount(tail_class, ends[:, k], TAILS) for k in (0, 1)], 1)

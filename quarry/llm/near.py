@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import BLANKS, components, maybe_broadcast, text_hash, written
+from .common import BLANKS, components, maybe_broadcast, shipped, text_hash, written
 
 #: Registers that agree by chance: one byte of each is kept.
 CHANCE = 1 / 256
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
     Other columns are not read. An empty table gives an empty result.
     """
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("thash"), F.col("text"))
-    signed = written(rows_.mapInArrow(signer(m, rows, words), SIGNED), "signed")
+    signed = written(shipped(rows_).mapInArrow(signer(m, rows, words), SIGNED), "signed")
     nodes = signed.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "thash")).alias("at"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
     nodes = written(nodes.select("key", "at.doc_id", "at.thash", "sig", "bands"), "nodes")
     flat = nodes.select("key", F.explode("bands").alias("band"))
@@ -228,7 +228,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
     while True:
         bucket = bucket.withColumn("chunk", F.pmod(F.xxhash64("key", "n"), F.ceil(F.col("n") / chunk)))
         bucket = bucket.select("band", "chunk", "key", "n", "deg", "sig").repartition("band", "chunk").sortWithinPartitions("band", "chunk", F.desc("deg"), "key")
-        led = written(bucket.mapInArrow(leaders(m), "band long, key long, leader long, n long, deg long"), "leaders")
+        led = written(shipped(bucket).mapInArrow(leaders(m), "band long, key long, leader long, n long, deg long"), "leaders")
         links = led if links is None else links.union(led)
         top = led.filter((F.col("n") > chunk) & (F.col("key") == F.col("leader"))).select("band", "key", "deg")
         size = top.groupBy("band").agg(F.count(F.lit(1)).alias("n"))

@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import shipped
+
 END_ID = 1
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Texts are encoded in parts of about so many characters, cut where a token boundary is certain.
@@ -167,4 +169,4 @@ def pack(docs: DataFrame, *, size: int = 2048, tokenizer: str | None = None) ->
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_run(str(tokenizer), size), _SCHEMA)
+    return shipped(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_run(str(tokenizer), size), _SCHEMA)

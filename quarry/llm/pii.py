@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
+from .common import shipped
 
 ROUNDS = 8
 KEY = b"set a key of your own"
@@ -301,7 +302,7 @@ def mask(docs: DataFrame, *, key: bytes = KEY, kinds: frozenset[str] | None = No
             cols[at] = pa.array(new, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(spans, kind)], [*batch.schema.names, "spans"])
 
-    return docs.mapInArrow(run, schema)
+    return shipped(docs).mapInArrow(run, schema)
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

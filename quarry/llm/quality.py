@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import text_hash, written
+from .common import shipped, text_hash, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -75,7 +75,7 @@ def quality(docs: DataFrame, *, host: str = "source", window: int = 5, least_wor
     also repeated rows and null ids. Other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("thash"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
-    stats = written(rows.mapInArrow(_run(window), _SCHEMA), "stats")
+    stats = written(shipped(rows).mapInArrow(_run(window), _SCHEMA), "stats")
     lines = stats.select("doc_id", "thash", "host", F.explode("lines").alias("x")).select("doc_id", "thash", "host", "x.h", "x.c", "x.w")
     found = lines.groupBy("host", "h", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("around"))
     over = found.filter((F.col("n") > line_docs) & (F.col("around") * 100 >= F.col("n") * own_surroundings)).select("host", "h")
