@@ -40,13 +40,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Paths of the tables that written() made and release() has not deleted yet.
+_made: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a table in the shared folder: computed once, and safe from lost executors."""
     path = new_path(df.sparkSession, name)
+    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables written so far. DataFrames returned by operators read them: save those first."""
+    while _made:
+        drop_path(spark, _made.pop())
+
+
 def shipped(df: DataFrame) -> DataFrame:
     """df, with this package sent to the executors once, so that their Python workers can import it wherever it lies here."""
     sc = df.sparkSession.sparkContext

@@ -77,3 +77,17 @@ def test_stages(spark, k):
         out = stage(spark, d, "/root/testdata/sf0.001")
         assert k == len(corpus_pipeline.STAGES) - 1 or out.columns == d.columns, name
         out.collect()
+
+
+def test_release_deletes_what_was_written(spark):
+    from quarry.llm import common
+
+    out = rows(near.near_duplicates(frame(spark, EDGES)))
+    made = list(common._made)
+    assert made and len(out) == len(EDGES)
+    common.release(spark)
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs
+    assert not common._made
+    for p in made:
+        at = fs.Path(p)
+        assert not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
