@@ -12,6 +12,8 @@ consistent along one alignment: equal values in the item are equal in the docume
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ UNITS = (
     "cent", "cents", "dollar", "dollars", "usd", "euro", "euros", "eur", "gbp", "percent", "degree", "degrees", "mph", "kmh", "hz", "w", "kw", "v", "j", "kj", "cal", "kcal",
 )
 FORMS = ("names", "plain")
+#: Windows (some 400 bytes each) that are broadcast at once; more go against the documents in blocks.
+WINDOW_ROWS = 100_000
 
 
 def bare(t: Column) -> Column:
@@ -72,24 +76,15 @@ def windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
     return all_.select("item_id", "form", "idx", "size", "n", first.word.alias("anchor"), first.off.alias("off"), second.word.alias("second"), second.off.alias("off2"), F.xxhash64("canon").alias("hash"), "canon", "vals")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literals: int = 5, cover: int = 13) -> DataFrame:
-    """(doc_id, thash, item_id, form, n_windows, covered, item_tokens) of documents that carry an item.
-
-    Windows count if their canonical tokens are equal and the values behind placeholders are consistent
-    along their alignment. An item is carried if `cover` of its tokens, or all it has, are in such windows.
-    Items of fewer than `literals` tokens, and windows of fewer literals, are not searched. Null or empty
-    texts and items match nothing. Repeated rows and null ids: one result for (doc_id, text). Other
-    columns are not read; empty tables give an empty result.
-    """
-    win = written(windows(benchmark.select("item_id", "text"), window, literals), "windows")
-    small = win.count() <= BROADCAST_ROWS // 5
+def _hits(docs: DataFrame, win: DataFrame) -> DataFrame:
+    """The windows of a block, small enough to broadcast, that documents have."""
     win = win.drop("canon")
     tokens = docs.select("doc_id", text_hash("text").alias("thash"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("tokens"))
     # The outer form spares a filter that would cut every text into tokens a second time.
     each = tokens.select("*", F.posexplode_outer("tokens").alias("pos", "tok"))
     start = F.col("pos") - F.col("off")
     fits = (start >= 0) & (start + F.col("size") <= F.size("tokens")) & (F.lower(bare(F.get("tokens", start + F.col("off2")))) == F.col("second"))
-    hit = each.join(F.broadcast(win) if small else win, (F.lower(bare(F.col("tok"))) == F.col("anchor")) & fits)
+    hit = each.join(F.broadcast(win), (F.lower(bare(F.col("tok"))) == F.col("anchor")) & fits)
     lead = F.when(start > 0, 1).otherwise(0)
     # The id keeps what follows out of the join, whose rows hold whole token arrays and should stay in generated code.
     hit = hit.select("doc_id", "thash", "item_id", "form", "n", "size", "idx", "hash", "vals", (start - F.col("idx")).alias("shift"), lead.alias("lead"),
@@ -98,7 +93,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literals:
     hit = hit.withColumn("canon", F.when(F.col("form") == FORMS[0], window_of(part, FORMS[0], lead, size)).otherwise(window_of(part, FORMS[1], lead, size)))
     hit = hit.filter((F.xxhash64("canon") == F.col("hash")) & (F.col("barrier") >= 0))
     slots = F.filter(F.transform(F.arrays_zip("canon", "vals", values(part, lead, size).alias("own")), lambda z: F.when(z["canon"].startswith("<"), F.struct(z["vals"].alias("a"), z["own"].alias("b")))), lambda z: z.isNotNull())
-    hit = hit.select("doc_id", "thash", "item_id", "form", "n", "size", "idx", "shift", slots.alias("pairs"))
+    return hit.select("doc_id", "thash", "item_id", "form", "n", "size", "idx", "shift", slots.alias("pairs"))
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literals: int = 5, cover: int = 13) -> DataFrame:
+    """(doc_id, thash, item_id, form, n_windows, covered, item_tokens) of documents that carry an item.
+
+    Windows count if their canonical tokens are equal and the values behind placeholders are consistent
+    along their alignment. An item is carried if `cover` of its tokens, or all it has, are in such windows.
+    Items of fewer than `literals` tokens, and windows of fewer literals, are not searched. Null or empty
+    texts and items match nothing. Repeated rows and null ids: one result for (doc_id, text). Other
+    columns are not read; empty tables give an empty result.
+    """
+    win = written(windows(benchmark.select("item_id", "text"), window, literals), "windows")
+    blocks = max(1, -(-win.count() // WINDOW_ROWS))
+    part = F.pmod(F.xxhash64("item_id", "form", "idx"), F.lit(blocks))
+    hit = reduce(DataFrame.unionByName, [_hits(docs, win.filter(part == b)) for b in range(blocks)])
     one = hit.groupBy("doc_id", "thash", "item_id", "form", "n", "shift").agg(F.collect_set(F.struct("idx", "size")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
     one = one.filter(F.size(F.array_distinct(F.transform("pairs", lambda p: p.a))) == F.size("pairs"))
     spans = F.flatten(F.transform(F.flatten(F.collect_list("at")), lambda x: F.sequence(x.idx, x.idx + x.size - 1)))

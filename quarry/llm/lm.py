@@ -318,10 +318,14 @@ def train(texts: DataFrame, model: Model, *, rounds: int = 2, stride: int = 8, r
             parts = -(-parts // FAN_IN)
             if parts <= 1:
                 break
+        total: dict[tuple[int, int], list] = {}
         for row in mixed.collect():  # one row for each chunk of the two tables: 8 MB at most
-            seen = np.frombuffer(row.seen, np.int64)
-            table = (model.theta_c, model.theta_w)[row.which]
-            table[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] += np.frombuffer(row.sums, np.float32).reshape(CHUNK, -1) / np.maximum(seen, 1)[:, None]
+            held = total.setdefault((row.which, row.chunk), [0, 0])
+            held[0] = held[0] + np.frombuffer(row.seen, np.int64)
+            held[1] = held[1] + np.frombuffer(row.sums, np.float32)
+        for (which, chunk), (seen, sums) in total.items():
+            table = (model.theta_c, model.theta_w)[which]
+            table[chunk * CHUNK : (chunk + 1) * CHUNK] += sums.reshape(CHUNK, -1) / np.maximum(seen, 1)[:, None]
         shared.destroy()
     return model
 

@@ -458,6 +458,12 @@ def test_leaks(spark, docs):
     assert got == {docs[i]["doc_id"] for i in H.leaking([r["text"] for r in docs], items)}
 
 
+def test_windows_in_blocks(spark, docs, monkeypatch):
+    want = {(r["doc_id"], r["item_id"], r["covered"]) for r in H.rows(queries.op10_template_windows(spark, SF))}
+    monkeypatch.setattr(decontam, "WINDOW_ROWS", 500)
+    assert want == {(r["doc_id"], r["item_id"], r["covered"]) for r in H.rows(queries.op10_template_windows(spark, SF))}
+
+
 def test_templates_and_slots(spark):
     items = spark.createDataFrame([(1, "Anna has 12 apples and gives 5 kg of them to her brother Tom. How many apples does Anna keep in the end?"), (2, "One two three four five six.")], "item_id long, text string")
     texts = [
