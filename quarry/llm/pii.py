@@ -215,13 +215,18 @@ def _word(m: re.Match) -> Value | None:
     return Value(number, size, f"word{shape}", lambda v: _fill(m["v"], chars(v))) if size > 1 else None
 
 
+def _assigned(m: re.Match) -> Value | None:
+    """A value behind password= and the like; one without a digit may be an ordinary word."""
+    return _word(m) if re.search("[0-9]", m["v"]) else None
+
+
 _MON = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 #: In order of precedence; a find keeps later kinds off its characters.
 KINDS = (
     ("email", _email, re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
     ("iban", _iban, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("secret", _secret, re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")),
-    ("secret", _word, re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)(?P<v>[^\s\"']{6,128})")),
+    ("secret", _assigned, re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)(?P<v>[^\s\"']{6,128})")),
     ("secret", _word, re.compile(r"\bAKIA(?P<v>[0-9A-Z]{16})\b")),
     ("ip", _ip, re.compile(r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d)")),
     ("date", _date, re.compile(rf"(?<![\d/.-])(?:\d{{4}}-\d{{2}}-\d{{2}}|\d{{1,2}}/\d{{1,2}}/\d{{4}}|\d{{1,2}}\.\d{{1,2}}\.\d{{4}}|\d{{4}}/\d{{2}}/\d{{2}})(?![\d/-])|\b\d{{1,2}} {_MON} \d{{4}}\b|\b{_MON} \d{{1,2}}, \d{{4}}\b")),

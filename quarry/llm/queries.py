@@ -121,5 +121,50 @@ FROM a
 """
 
 
+_OP7 = r"""
+WITH RECURSIVE ws AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM ws WHERE len(ws) > 0),
+c AS (SELECT doc_id, array_to_string(list_slice(ws, i, i + 4), ' ') AS s, count(*) AS w FROM x GROUP BY ALL),
+n AS (SELECT doc_id, sum(w) AS n FROM c GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(least(a.w, b.w)) AS shared FROM c a JOIN c b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 9 * shared >= 4 * (na.n + nb.n)),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.node),
+m AS (SELECT node AS doc_id, min(root) AS class_id FROM r GROUP BY node)
+SELECT doc_id, class_id, count(*) OVER (PARTITION BY class_id) AS class_size, doc_id = class_id AS is_rep FROM m
+"""
+
+_UNITS = ", ".join(f"'{u}'" for u in decontam.UNITS)
+_OP10 = rf"""
+WITH src AS (
+  SELECT 'd' AS side, doc_id AS id, text FROM documents UNION ALL SELECT DISTINCT 'b', item_id, text FROM benchmark),
+l AS (SELECT side, id, regexp_extract_all(coalesce(text, ''), '{decontam.TOKEN.replace("'", "''")}') AS ts FROM src),
+t AS (SELECT side, id, len(ts) AS n, unnest(ts) AS tok, unnest(generate_series(1, len(ts))) AS pos FROM l WHERE len(ts) > 0),
+b AS (SELECT *, rtrim(tok, '.!?') AS w, lag(tok) OVER (PARTITION BY side, id ORDER BY pos) AS prev FROM t),
+k AS (SELECT b.*, f.form, lower(w) AS val,
+        CASE WHEN w BETWEEN '0' AND '9~' THEN '<num>'
+             WHEN coalesce(prev BETWEEN '0' AND '9~', false) AND lower(w) IN ({_UNITS}) THEN '<unit>'
+             WHEN f.form = 'names' AND w[1] <> lower(w[1]) THEN '<name>' ELSE lower(w) END AS canon
+      FROM b, (VALUES ('names'), ('plain')) f(form)),
+g AS (SELECT k.*, z.size,
+        list(canon) OVER q AS cs, list(val) OVER q AS vs, count(*) OVER q AS got
+      FROM k, (VALUES (5), (6), (7), (8)) z(size) WHERE side = 'd' OR z.size = least(8, n)
+      WINDOW q AS (PARTITION BY side, id, form, size ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+w AS (SELECT side, id, form, size, n, pos, list_slice(cs, 1, size) AS cs, list_slice(vs, 1, size) AS vs FROM g WHERE got >= size),
+i AS (SELECT * FROM w WHERE side = 'b' AND len(list_filter(cs, lambda c: c[1] <> '<')) >= least(5, size)),
+h AS (SELECT w.id AS doc_id, i.id AS item_id, i.form, i.n, i.size, i.pos, w.pos - i.pos AS shift, i.cs, i.vs AS a, w.vs AS b
+      FROM i JOIN w ON w.side = 'd' AND w.form = i.form AND w.size = i.size AND w.cs = i.cs),
+e AS (SELECT doc_id, item_id, form, n, shift, pos, unnest(generate_series(pos, pos + size - 1)) AS place, unnest(cs) AS c, unnest(a) AS a, unnest(b) AS b FROM h),
+ok AS (SELECT doc_id, item_id, form, shift FROM e GROUP BY ALL
+       HAVING count(DISTINCT a) FILTER (WHERE c[1] = '<') = count(DISTINCT (a, b)) FILTER (WHERE c[1] = '<')),
+s AS (SELECT doc_id, item_id, form, n, count(DISTINCT (shift, pos)) AS n_windows, count(DISTINCT place) AS covered
+      FROM e JOIN ok USING (doc_id, item_id, form, shift) GROUP BY ALL)
+SELECT doc_id, item_id, arg_max(form, (covered, n_windows, form)) AS form, CAST(arg_max(n_windows, (covered, n_windows, form)) AS BIGINT) AS n_windows,
+       CAST(max(covered) AS BIGINT) AS covered, CAST(n AS BIGINT) AS item_tokens
+FROM s GROUP BY doc_id, item_id, n HAVING max(covered) >= least(13, n)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_runs": _OP8, "op9_line_frequency": _OP9}
+    return {"op7_bag_minhash": _OP7, "op8_line_runs": _OP8, "op9_line_frequency": _OP9, "op10_template_windows": _OP10}
