@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 2 << 20
+GROUP_BYTES = 1 << 20
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
 _P = 0xD6E8FEB86659FD93 | 1
@@ -45,7 +45,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i below n at least."""
     global _pow, _inv
     if len(_pow) < n:
-        m = 1 << max(12, (n - 1).bit_length())
+        m = -(-n // 65536) * 65536
         for name, base in (("_pow", _P), ("_inv", pow(_P, -1, 1 << 64))):
             a = np.full(m, base, _U)
             a[0] = 1

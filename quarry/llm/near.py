@@ -8,7 +8,7 @@
    document's largest register, so a shingle costs a few points, not one for each register. Two
    registers agree with a probability equal to the weighted Jaccard similarity.
 2. Bands of registers make buckets of distinct texts. In a bucket, the member that shares most buckets
-   leads; those whose signatures agree with it join it, the rest choose the next leader, and so on.
+   leads; those whose signatures agree with it join it, those that do not agree strongly lead in turn.
    Large buckets are split into chunks whose leaders meet again, so no task holds a whole bucket.
 3. Components of these links are families. In a family, exact multiset overlaps by postings of
    shingles link documents at the threshold or above. Families above `block` members are compared by
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -29,6 +29,10 @@ from .common import BLANKS, components, maybe_broadcast, shipped, text_hash, wri
 CHANCE = 1 / 256
 #: Signature agreement from which documents are one family; true pairs at 0.8 lie 8 deviations above.
 FAMILY = 0.5
+#: Agreement from which a text follows a leader for good: its partners at 0.8 are within FAMILY of that leader.
+STRONG = 0.78
+#: Between leaders of different chunks of a bucket: partners' leaders may be this far apart.
+FAR = 0.25
 MASK = (1 << 64) - 1
 
 
@@ -111,21 +115,35 @@ def signer(m: int, rows: int, k: int):
     return run
 
 
-def leaders(m: int):
-    """Over rows sorted by (band, chunk, falling degree): each row's leader in its bucket."""
+def lead(run: np.ndarray, sig: np.ndarray, family: float) -> tuple[np.ndarray, np.ndarray]:
+    """For rows of runs: the first row of the part of the run that it belongs to, and whether the row led.
 
-    def lead(run: np.ndarray, key: np.ndarray, sig: np.ndarray) -> np.ndarray:
-        out, left = np.zeros(len(key), key.dtype), np.arange(len(key))
-        while len(left):
-            r = run[left]
-            first = np.ones(len(left), bool)
-            first[1:] = r[1:] != r[:-1]
-            head = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
-            same = np.concatenate([(sig[left[i : i + 65536]] == sig[head[i : i + 65536]]).mean(1) for i in range(0, len(left), 65536)])
-            ok = first | ((same - CHANCE) / (1 - CHANCE) >= FAMILY)
-            out[left[ok]] = key[head[ok]]
-            left = left[~ok]
-        return out
+    In turn the first row left in each run leads: rows that agree by `family` or more are of its part,
+    and those that agree by STRONG or more need not lead or follow again. So two texts at 0.8 meet: one
+    that follows a leader strongly has its partner within `family` of that leader.
+    """
+    part, led, left = np.arange(len(run)), np.zeros(len(run), bool), np.arange(len(run))
+    while len(left):
+        r = run[left]
+        first = np.ones(len(left), bool)
+        first[1:] = r[1:] != r[:-1]
+        head = left[np.maximum.accumulate(np.where(first, np.arange(len(left)), 0))]
+        led[left[first]] = True
+        same = np.concatenate([(sig[left[i : i + 65536]] == sig[head[i : i + 65536]]).mean(1) for i in range(0, len(left), 65536)])
+        agree = (same - CHANCE) / (1 - CHANCE)
+        near = agree >= family
+        if (joined := part[left[near]] != part[head[near]]).any():
+            to = np.arange(len(run))
+            to[part[left[near]][joined]] = part[head[near]][joined]
+            part = to[part]
+        left = left[~first & (agree < STRONG)]
+    low = np.full(len(run), len(run))
+    np.minimum.at(low, part, np.arange(len(run)))
+    return low[part], led
+
+
+def leaders(m: int, family: float):
+    """Over rows sorted by (band, chunk, falling degree): each row's part of its bucket, by a key, and whether it led."""
 
     def run(batches):
         rest = None
@@ -146,7 +164,8 @@ def leaders(m: int):
             t = t.slice(0, cut).combine_chunks()
             sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, m)
             key = t["key"].to_numpy()
-            yield pa.RecordBatch.from_arrays([t["band"].combine_chunks(), pa.array(key), pa.array(lead(np.cumsum(new[:cut]), key, sig)), t["n"].combine_chunks(), t["deg"].combine_chunks()], ["band", "key", "leader", "n", "deg"])
+            part, led = lead(np.cumsum(new[:cut]), sig, family)
+            yield pa.RecordBatch.from_arrays([t["band"].combine_chunks(), pa.array(key), pa.array(key[part]), pa.array(led), t["n"].combine_chunks(), t["deg"].combine_chunks()], ["band", "key", "leader", "led", "n", "deg"])
 
     return run
 
@@ -156,6 +175,15 @@ def _and_none(it):
     yield None
 
 
+LED = "band long, key long, leader long, led boolean, n long, deg long"
+
+
+def pairs_of(parts: str, own: str) -> Column:
+    """The pairs (i, j) of i <= j below `parts` that contain `own`."""
+    mine = F.col(own).cast("int")
+    return F.transform(F.sequence(F.lit(0), (F.col(parts) - 1).cast("int")), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
+
+
 def linker(k: int, threshold: float):
     """In one family or pair of blocks: (key, root), root being the least key that exact links connect."""
 
@@ -224,18 +252,27 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
     member = written(flat.join(shared, "band"), "members")
     degree = member.groupBy("key").agg(F.sum(F.col("n") - 1).alias("deg"))
     bucket = member.join(degree, "key").join(nodes.select("key", "sig"), "key")
-    links = None
+    links, family = None, FAMILY
     while True:
         bucket = bucket.withColumn("chunk", F.pmod(F.xxhash64("key", "n"), F.ceil(F.col("n") / chunk)))
         bucket = bucket.select("band", "chunk", "key", "n", "deg", "sig").repartition("band", "chunk").sortWithinPartitions("band", "chunk", F.desc("deg"), "key")
-        led = written(shipped(bucket).mapInArrow(leaders(m), "band long, key long, leader long, n long, deg long"), "leaders")
+        led = written(shipped(bucket).mapInArrow(leaders(m, family), LED), "leaders")
         links = led if links is None else links.union(led)
-        top = led.filter((F.col("n") > chunk) & (F.col("key") == F.col("leader"))).select("band", "key", "deg")
+        top = led.filter((F.col("n") > chunk) & F.col("led")).select("band", "key", "deg")
         size = top.groupBy("band").agg(F.count(F.lit(1)).alias("n"))
         before = led.filter(F.col("n") > chunk).groupBy("band").agg(F.count(F.lit(1)).alias("was"))
-        size = written(size.join(before, "band").filter("n > 1 and n < was"), "sizes")
+        size = written(size.join(before, "band").filter("n > 1"), "sizes")
+        stuck = size.filter("n >= was")  # nobody follows anybody: chunks are compared by pairs
+        if stuck.limit(1).count():
+            apart = top.join(stuck.select("band", "n"), "band").join(nodes.select("key", "sig"), "key")
+            apart = apart.withColumn("parts", F.ceil(F.col("n") / chunk)).withColumn("own", F.pmod(F.xxhash64("key", "n"), F.col("parts")))
+            apart = apart.withColumn("p", F.explode(pairs_of("parts", "own"))).withColumn("chunk", F.col("p.i") * F.col("parts") + F.col("p.j"))
+            apart = apart.select("band", "chunk", "key", "n", "deg", "sig").repartition("band", "chunk").sortWithinPartitions("band", "chunk", F.desc("deg"), "key")
+            links = links.union(written(shipped(apart).mapInArrow(leaders(m, FAR), LED), "leaders"))
+        size = size.filter("n < was")
         if not size.limit(1).count():
             break
+        family = FAR
         bucket = top.join(size.select("band", "n"), "band").join(nodes.select("key", "sig"), "key")
     family = components(links, "key", "leader")
     count = family.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
@@ -243,9 +280,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
     family = family.join(count, "root").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     family = written(family.join(nodes.select(F.col("key").alias("node"), "doc_id", "thash"), "node").select(F.col("node").alias("key"), "root", "parts", "own", "doc_id", "thash"), "families")
     texts = rows_.join(maybe_broadcast(family), rows_.doc_id.eqNullSafe(family.doc_id) & (rows_.thash == family.thash)).select("key", "root", "parts", "own", "text")
-    pair = F.explode(F.when(F.col("parts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), (F.col("parts") - 1).cast("int")), lambda o: F.struct(F.least(o, F.col("own").cast("int")).alias("i"), F.greatest(o, F.col("own").cast("int")).alias("j")))))
-    texts = texts.select("key", "root", pair.alias("p"), "text").select("root", "p.i", "p.j", "key", "text")
+    texts = texts.select("key", "root", F.explode(pairs_of("parts", "own")).alias("p"), "text").select("root", "p.i", "p.j", "key", "text")
     linked = written(texts.groupBy("root", "i", "j").applyInArrow(linker(words, threshold), "key long, root long"), "linked").filter("key <> root")
     many = family.filter("parts > 1").limit(1).count()
     classes = components(linked, "key", "root").select(F.col("node").alias("key"), "root") if many else linked.distinct()

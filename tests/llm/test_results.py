@@ -382,6 +382,24 @@ def test_near_classes(spark, options):
     assert sorted(r["doc_id"] for r in H.rows(near.keep_one(H.frame(spark, pairs), **options))) == sorted(set(want))
 
 
+def test_partners_meet_past_a_leader_between_them():
+    """Chains of signatures, each agreeing with the next but less and less with the first, and strangers."""
+    rng = np.random.default_rng(8)
+    sig = [rng.integers(0, 256, 128).astype(np.uint8)]
+    for _ in range(40):
+        s = sig[-1].copy()
+        s[rng.choice(128, 22, replace=False)] = rng.integers(0, 256, 22)
+        sig.append(s)
+    sig += list(rng.integers(0, 256, (20, 128)).astype(np.uint8))
+    for _ in range(20):
+        order = rng.permutation(61)
+        part, led = near.lead(np.zeros(61, int), np.array(sig)[order], near.FAMILY)
+        groups = defaultdict(set)
+        for i, p in zip(order, part, strict=True):
+            groups[p].add(int(i))
+        assert sorted(map(len, groups.values())) == [1] * 20 + [41] and led[part].all()
+
+
 def test_near_on_documents(spark):
     sf = "/root/testdata/sf0.01"
     pairs = sorted((r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
