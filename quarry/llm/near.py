@@ -11,8 +11,8 @@
    leads; those whose signatures agree with it join it, those that do not agree strongly lead in turn.
    Large buckets are split into chunks whose leaders meet again, so no task holds a whole bucket.
 3. Components of these links are families. In a family, exact multiset overlaps by postings of
-   shingles link documents at the threshold or above. Families above `block` members are compared by
-   pairs of blocks. No list of pairs is ever made.
+   shingles link documents at the threshold or above. Families above `block` members or BLOCK_BYTES are
+   compared by pairs of blocks. No list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ FAMILY = 0.5
 STRONG = 0.78
 #: Between leaders of different chunks of a bucket: partners' leaders may be this far apart.
 FAR = 0.25
+#: Text of a block in which a family is compared.
+BLOCK_BYTES = 16 << 20
 MASK = (1 << 64) - 1
 
 
@@ -93,13 +95,13 @@ def bands_of(reg: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-SIGNED = "doc_id long, thash long, key long, sig binary, bands array<long>"
+SIGNED = "doc_id long, thash long, bytes long, key long, sig binary, bands array<long>"
 
 
 def signer(m: int, rows: int, k: int):
     def run(batches):
         for batch in batches:
-            texts = batch.column(2)
+            texts = batch.column(3)
             for g in K.groups(texts):
                 d, sh, w, key = elements(g, k)
                 reg = bag_minhash(d, sh, w, g.n, m)
@@ -108,9 +110,9 @@ def signer(m: int, rows: int, k: int):
                 flat = bands_of(reg, rows).view(np.int64)
                 own = slice(g.first, g.first + g.n)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[own], batch.column(1)[own], pa.array(key.view(np.int64), mask=~some), pa.array([x.tobytes() for x in sig], pa.binary()),
+                    [*(batch.column(i)[own] for i in range(3)), pa.array(key.view(np.int64), mask=~some), pa.array([x.tobytes() for x in sig], pa.binary()),
                      pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, flat.shape[1], dtype=np.int32)), pa.array(flat.ravel()))],
-                    ["doc_id", "thash", "key", "sig", "bands"])
+                    ["doc_id", "thash", "bytes", "key", "sig", "bands"])
 
     return run
 
@@ -243,10 +245,10 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
     is_rep holds on the row of the least (doc_id, thash), on all its repetitions if it is repeated.
     Other columns are not read. An empty table gives an empty result.
     """
-    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("thash"), F.col("text"))
+    rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("thash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.col("text"))
     signed = written(shipped(rows_).mapInArrow(signer(m, rows, words), SIGNED), "signed")
-    nodes = signed.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "thash")).alias("at"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select("key", "at.doc_id", "at.thash", "sig", "bands"), "nodes")
+    nodes = signed.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "thash")).alias("at"), F.max("bytes").alias("bytes"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    nodes = written(nodes.select("key", "at.doc_id", "at.thash", "bytes", "sig", "bands"), "nodes")
     flat = nodes.select("key", F.explode("bands").alias("band"))
     shared = flat.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     member = written(flat.join(shared, "band"), "members")
@@ -275,10 +277,11 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
         family = FAR
         bucket = top.join(size.select("band", "n"), "band").join(nodes.select("key", "sig"), "key")
     family = components(links, "key", "leader")
-    count = family.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    parts = F.ceil(F.col("n") / block)
-    family = family.join(count, "root").withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
-    family = written(family.join(nodes.select(F.col("key").alias("node"), "doc_id", "thash"), "node").select(F.col("node").alias("key"), "root", "parts", "own", "doc_id", "thash"), "families")
+    family = family.join(nodes.select(F.col("key").alias("node"), "doc_id", "thash", "bytes"), "node")
+    count = family.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    parts = F.ceil(F.greatest(F.col("n") / block, F.col("bytes") / BLOCK_BYTES))
+    family = family.drop("bytes").join(count.select("root", F.greatest(parts, F.lit(1)).alias("parts")), "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
+    family = written(family.select(F.col("node").alias("key"), "root", "parts", "own", "doc_id", "thash"), "families")
     texts = rows_.join(maybe_broadcast(family), rows_.doc_id.eqNullSafe(family.doc_id) & (rows_.thash == family.thash)).select("key", "root", "parts", "own", "text")
     texts = texts.select("key", "root", F.explode(pairs_of("parts", "own")).alias("p"), "text").select("root", "p.i", "p.j", "key", "text")
     linked = written(texts.groupBy("root", "i", "j").applyInArrow(linker(words, threshold), "key long, root long"), "linked").filter("key <> root")

@@ -371,8 +371,10 @@ def families():
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk": 4, "block": 3}])
-def test_near_classes(spark, options):
+@pytest.mark.parametrize("options", [{}, {"chunk": 4, "block": 3}, {"bytes": 1000}])
+def test_near_classes(spark, options, monkeypatch):
+    options = dict(options)
+    monkeypatch.setattr(near, "BLOCK_BYTES", options.pop("bytes", near.BLOCK_BYTES))
     pairs = families()
     got = {r["doc_id"]: r for r in H.rows(near.near_duplicates(H.frame(spark, pairs), **options))}
     want = H.near_classes(pairs)
