@@ -33,8 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Paths that new_path() gave and release() has not deleted yet.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the shared folder, for release() to delete."""
+    _made.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -42,20 +48,16 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-#: Paths of the tables that written() made and release() has not deleted yet.
-_made: list[str] = []
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a table in the shared folder: computed once, and safe from lost executors."""
     path = new_path(df.sparkSession, name)
-    _made.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:
-    """Deletes the tables written so far. DataFrames returned by operators read them: save those first."""
+    """Deletes what was written so far to paths that were not given: intermediate tables, line runs, slot maps.
+    DataFrames returned by operators read them: save those first."""
     while _made:
         drop_path(spark, _made.pop())
 
