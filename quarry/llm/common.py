@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import functools
 import shutil
 import tempfile
 import uuid
@@ -20,17 +21,19 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+@functools.cache
+def _own_dir() -> str:
+    found = tempfile.mkdtemp(prefix="quarry-")
+    atexit.register(shutil.rmtree, found, True)
+    return f"file://{found}"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset and Spark is local (tests), a temporary one becomes it."""
+    """The folder named by spark.checkpoint.dir; where that is unset and Spark is local (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="quarry-")
-        atexit.register(shutil.rmtree, found, True)
-        found = f"file://{found}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if not found and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return found or _own_dir()
 
 
 #: Paths that new_path() gave and release() has not deleted yet.

@@ -91,3 +91,19 @@ def test_release_deletes_what_was_written(spark):
     for p in made:
         at = fs.Path(p)
         assert not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def test_without_a_shared_folder(spark, monkeypatch):
+    from quarry.llm import common
+
+    class Without:
+        """The session, with spark.checkpoint.dir unset."""
+
+        conf = type("C", (), {"get": staticmethod(lambda *_: None)})
+
+        def __init__(self, master):
+            self.sparkContext = type("S", (), {"master": master, "getConf": staticmethod(dict)})
+
+    assert common.shared_dir(Without("local[2]")) == common.shared_dir(Without("local[4]")) != common.shared_dir(spark)
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Without("spark://host:7077"))
