@@ -13,11 +13,11 @@ from .common import shipped, text_hash, written
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_SCHEMA = "doc_id long, thash long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<h:long,c:long,w:long>>"
+_SCHEMA = "doc_id long, thash long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<h:long,w:long>>"
 
 
 def _counts(g: K.Group, window: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-    """The counts of a group's documents; its lines with a word as (document, hash, surroundings, words) and their ends by document."""
+    """The counts of a group's documents; its lines with a word as (hash, words) and their ends by document."""
     s, e = g.words()
     doc = g.doc_of(s)
     raw = K.prefix(K.RAW[g.data])
@@ -37,14 +37,11 @@ def _counts(g: K.Group, window: int) -> tuple[dict[str, np.ndarray], np.ndarray,
     covered = np.cumsum(edge)[: len(s)] > 0
     out["n_repeat_words"] = np.bincount(doc[covered], minlength=g.n)
     h = K.span(K.prefix(K.span(K.prefix(K.FOLD[g.data]), s, e)), fw, lw)
-    first, last = np.append(True, ld[1:] != ld[:-1])[: len(ld)], np.append(ld[1:] != ld[:-1], True)[-len(ld) :] if len(ld) else np.zeros(0, bool)
-    before, after = np.where(first, 0, np.roll(h, 1)).astype(np.uint64), np.where(last, 1, np.roll(h, -1)).astype(np.uint64)
-    around = K.mix(before ^ K.mix(after))
     key, at, where = np.unique(K.keyed(h, ld), return_index=True, return_inverse=True)
     words = np.bincount(where, lw - fw, len(key)).astype(np.int64)
     order = np.argsort(ld[at], kind="stable")
     at = at[order]
-    rows = pa.StructArray.from_arrays([pa.array(h[at].view(np.int64)), pa.array(around[at].view(np.int64)), pa.array(words[order])], ["h", "c", "w"])
+    rows = pa.StructArray.from_arrays([pa.array(h[at].view(np.int64)), pa.array(words[order])], ["h", "w"])
     return out, rows, np.searchsorted(ld[at], np.arange(g.n + 1)).astype(np.int32)
 
 
@@ -61,24 +58,23 @@ def _run(window: int):
     return run
 
 
-def quality(docs: DataFrame, *, host: str = "source", window: int = 5, least_words: int = 10, most_repeated: int = 20, line_docs: int = 10, own_surroundings: int = 50, least_left: int = 30) -> DataFrame:
+def quality(docs: DataFrame, *, host: str = "source", window: int = 5, least_words: int = 10, most_repeated: int = 20, line_docs: int = 10, least_left: int = 30) -> DataFrame:
     """One row for each row of docs: doc_id, thash, host, counts, base_failed, removed_words, kept.
 
     base_failed: fewer than `least_words` words, or over `most_repeated` per cent of them in word
     windows found twice or more. A line (words folded, blanks ignored) is above the limit if more than
-    `line_docs` documents of its host have it and at least `own_surroundings` per cent as many pairs
-    of neighbouring lines stand around it: lines that recur because whole documents are copied do not
-    count, as near-dedup keeps one of those. A document of which less than `least_left` per cent of the
-    words are left without such lines is depleted and not kept.
+    `line_docs` different texts of its host have it. Copies of one text, byte for byte, count once, as
+    near-dedup keeps one of those; near copies are texts of their own. A document of which less than
+    `least_left` per cent of the words are left without such lines is depleted and not kept.
 
     Null and empty texts have no words and fail. Null hosts are one host, ''. Each row is a document,
     also repeated rows and null ids. Other columns are not read; an empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("thash"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), "text")
     stats = written(shipped(rows).mapInArrow(_run(window), _SCHEMA), "stats")
-    lines = stats.select("doc_id", "thash", "host", F.explode("lines").alias("x")).select("doc_id", "thash", "host", "x.h", "x.c", "x.w")
-    found = lines.groupBy("host", "h", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("host", "h").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("around"))
-    over = found.filter((F.col("n") > line_docs) & (F.col("around") * 100 >= F.col("n") * own_surroundings)).select("host", "h")
+    lines = stats.select("doc_id", "thash", "host", F.explode("lines").alias("x")).select("doc_id", "thash", "host", "x.h", "x.w")
+    found = lines.select("host", "h", "thash").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+    over = found.filter(F.col("n") > line_docs).select("host", "h")
     gone = lines.join(written(over, "over"), ["host", "h"]).groupBy("doc_id", "thash", "host").agg(F.collect_set(F.struct("h", "w")).alias("s"))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("thash").alias("t"), F.col("host").alias("o"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x.w).alias("removed"))
     stats = stats.drop("lines")

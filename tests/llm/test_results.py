@@ -469,6 +469,18 @@ def test_quality(spark, docs):
     assert any(not f and not k for _, f, k in want)
 
 
+def test_lines_of_blocks_and_copied_documents_count(spark):
+    """Inner lines of a block with the same neighbours everywhere, a line of which one document is copied often, and copies alone."""
+    word = lambda i: " ".join(f"w{i}x{j}" for j in range(3))
+    block = [(f"{word(i)}\nHome and news and contact us\nAbout the firm and its people\nAll our offers of this week here", "a") for i in range(12)]
+    line = [(f"{word(100 + i)}\nThis one line stands in a dozen of different documents here\nend{i}", "b") for i in range(12)]
+    copies = [("Whole document with words of its own that is copied\nand never changed at all by anyone", "c")] * 30
+    pairs = block + line + [line[0]] * 60 + copies
+    d = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(pairs)], "doc_id long, text string, source string")
+    got = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in H.rows(quality.quality(d))}
+    assert [got[i] for i in range(len(pairs))] == [(19, False)] * 12 + [(11, False)] * 72 + [(0, True)] * 30
+
+
 # -- 10
 
 
