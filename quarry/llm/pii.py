@@ -125,7 +125,17 @@ def _phone(m: re.Match) -> Value | None:
     d = re.sub(r"\D", "", m[0])
     head, d = d[:-10], d[-10:]
     if d[0] in "01" or d[3] in "01":
-        return None
+        # Not allotted, so only a number in explicit form is one. Such numbers have a domain of their own: first the areas below 200, then the exchanges.
+        if m[0][0] != "+" and "(" not in m[0]:
+            return None
+        low = 200 * 10**7
+        at = int(d) if d[0] in "01" else low + ((int(d[:3]) - 200) * 200 + int(d[3:6])) * 10000 + int(d[6:])
+
+        def write(v: int) -> str:
+            x, line = divmod(v - low, 10000)
+            return _fill(m[0], head + (f"{v:010d}" if v < low else f"{x // 200 + 200}{x % 200:03d}{line:04d}"))
+
+        return Value(at, low + 800 * 200 * 10000, "phone0", write)
     number = ((int(d[:3]) - 200) * 800 + int(d[3:6]) - 200) * 10000 + int(d[6:])
     return Value(number, 800 * 800 * 10000, "phone", lambda v: _fill(m[0], f"{head}{v // 10000 // 800 + 200}{v // 10000 % 800 + 200}{v % 10000:04d}"))
 

@@ -178,6 +178,19 @@ def test_pseudonyms_keep_formats_and_links():
     assert pii.pseudonymise(text, b"other")[0] != new
 
 
+def test_phones_in_explicit_form_may_have_any_digits():
+    forms = ["+1 (017) 555-7713", "+1 (132) 555-1352", "+1 663 055 7713", "(663) 155-7713", "+10175557713", "+1 (999) 199-9999", "+1 (000) 000-0000", "(200) 000-0000", "+1 (199) 999-9999"]
+    for p in forms:
+        text = f"Call {p} today"
+        new, spans = pii.pseudonymise(text)
+        assert spans == [(5, 5 + len(p), "phone")] and new != text
+        assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text) and new.startswith("Call +1") == p.startswith("+1") and pii.recover(new) == text
+    assert re.sub(r"\D", "", pii.pseudonymise(forms[0])[0]) == re.sub(r"\D", "", pii.pseudonymise(forms[4])[0])
+    assert not pii.finds("part 017-555-7713 or 663-055-7713"), "without + or a bracket it may be another number"
+    domain = {pii.finds(p)[0][3].number for p in forms}
+    assert len(domain) == len(forms) - 1 and max(domain) < pii.finds(forms[0])[0][3].size
+
+
 def test_clean_texts_stay(spark, docs):
     got = {r["doc_id"]: r for r in H.rows(queries.op3_feistel_pseudonyms(spark, SF))}
     n = 0
