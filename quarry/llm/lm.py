@@ -13,7 +13,7 @@ beside the commonest words, taken from about PROFILE_DOCS training documents (a
 Training is parameter mixing: each partition takes gradient steps (Adagrad by row) on minibatches of
 its training documents, starting from shared weights; touched rows are averaged, weighted by their
 updates, in a tree of merges; then the next round starts. Each training document belongs to one round
-(by hash), and one position in `stride` (by hash) gives a gradient. Counts are exact and over all training documents. For scoring,
+(by hash), in which each of its positions gives a gradient. Counts are exact and over all training documents. For scoring,
 documents are dealt to blocks of bounded bytes and each block meets the counts of just its own words.
 """
 
@@ -105,14 +105,13 @@ class Model:
         at = self.table[self.place(h)]
         return np.where((self.words[at] == h) & (at < len(self.words) - 1), at, -1)
 
-    def features(self, t: Tokens, pick: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Head rank, class, and the rows of both weight tables, of the tokens picked."""
+    def features(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Head rank, class, and the rows of both weight tables, of the tokens."""
         head = self.head(t.hash)
         cls = np.where(head >= 0, head // SIZE, HEADS + self.tail_class[t.tail])
         code = cls.astype(_U)
-        w1, w2 = t.back(t.hash, 1, START)[pick], t.back(t.hash, 2, START)[pick]
-        c1, c2, c3 = (t.back(code, k, _U(CLASSES))[pick] for k in (1, 2, 3))
-        head, cls, code = head[pick], cls[pick], code[pick]
+        w1, w2 = t.back(t.hash, 1, START), t.back(t.hash, 2, START)
+        c1, c2, c3 = (t.back(code, k, _U(CLASSES)) for k in (1, 2, 3))
         keys = [K.mix(w1), K.mix(w1 + _U(3) * w2), K.mix(c1 + _U(1000) * c2 + _U(1 << 40)), K.mix(c2 + _U(1000) * c3 + _U(1 << 41))]
         rows_c = np.stack([k >> _U(64 - ROWS_C.bit_length() + 1) for k in keys]).astype(np.int32)
         inside = code * _U(0xA24BAED4963EE407) + _U(0x9E3779B97F4A7C15)
@@ -257,7 +256,7 @@ def _classes(profile: np.ndarray, head_n: np.ndarray, ending_n: np.ndarray) -> t
 _MIXED = "part long, which int, chunk int, seen binary, sums binary"
 
 
-def _train(shared, stride: int, rate: float):
+def _train(shared, rate: float):
     def run(batches):
         import copy
 
@@ -272,9 +271,7 @@ def _train(shared, stride: int, rate: float):
 
         for batch in batches:
             for g in K.groups(batch.column(0)):
-                t = Tokens(g)
-                pick = np.flatnonzero(K.mix(t.hash + t.place.astype(_U) * _U(31)) % _U(stride) == 0)
-                held.append(model.features(t, pick))
+                held.append(model.features(Tokens(g)))
                 if sum(len(x[0]) for x in held) >= BATCH:
                     flush()
         flush()
@@ -306,12 +303,12 @@ def _merge(batches):
                                      pa.schema([("part", pa.int64()), ("which", pa.int32()), ("chunk", pa.int32()), ("seen", pa.binary()), ("sums", pa.binary())]))
 
 
-def train(texts: DataFrame, model: Model, *, rounds: int = 2, stride: int = 8, rate: float = 0.3) -> Model:
+def train(texts: DataFrame, model: Model, *, rounds: int = 2, rate: float = 0.3) -> Model:
     """The model after `rounds` of parameter mixing over a one-column DataFrame of texts, each text in one round."""
     sc = texts.sparkSession.sparkContext
     for round_ in range(rounds):
         shared = sc.broadcast(model)
-        mixed = shipped(texts).filter(F.pmod(F.shiftright(text_hash("text"), 20), F.lit(rounds)) == round_).mapInArrow(_train(shared, stride, rate), _MIXED)
+        mixed = shipped(texts).filter(F.pmod(F.shiftright(text_hash("text"), 20), F.lit(rounds)) == round_).mapInArrow(_train(shared, rate), _MIXED)
         parts = texts.rdd.getNumPartitions()
         while True:
             mixed = mixed.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "which", "chunk").applyInArrow(lambda t: pa.Table.from_batches(_merge(t.to_batches())), _MIXED)
@@ -370,7 +367,7 @@ def _score(shared, n: int, v: int):
     return run
 
 
-def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2, stride: int = 8, profile_docs: int = PROFILE_DOCS) -> DataFrame:
+def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2, profile_docs: int = PROFILE_DOCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
     Learns from the rows whose crc32(doc_id as text) mod `mod` is not `out`. Tokens are the words, A-Z
@@ -405,7 +402,7 @@ def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2, stri
     tails = np.stack([np.bincount(tail_class, ends[:, k], TAILS) for k in (0, 1)], 1)
     model = Model(head[order].view(_U), head_n[order], tail_class, tails)
     if n:
-        model = train(train_texts, model, rounds=rounds, stride=stride)
+        model = train(train_texts, model, rounds=rounds)
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     blocks = max(1, -(-size // BLOCK_BYTES))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learn).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", text_hash("text")), F.lit(blocks)).alias("block"))

@@ -363,6 +363,14 @@ def test_probabilities_sum_to_one():
     assert abs(total - 1) < 1e-4
 
 
+def test_every_position_trains(spark):
+    texts = [" ".join(f"w{i * 7 + j * j}" for j in range(12)) for i in range(40)]
+    m = lm.Model(np.arange(1, 4, dtype=np.uint64), np.ones(3), np.arange(lm.ENDINGS) % lm.TAILS, np.full((lm.TAILS, 2), 9.0))
+    lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), m)
+    _, _, rows, _ = m.features(lm.Tokens(next(kernels.groups(pa.array(texts)))))
+    assert (m.theta_c[rows] != 0).any(-1).all()
+
+
 # -- 7
 
 
