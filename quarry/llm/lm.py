@@ -8,7 +8,7 @@ The model factors a token's probability into that of its class and that within t
   tail classes  all other words by their last three bytes: add-one shares of the counts in the class,
                 words never seen being one word. So all probabilities of a context sum to 1.
 Head words and word endings are dealt to classes by the company they keep: k-means over their counts
-beside the commonest words, taken from about PROFILE_DOCS training documents (a bound, not a share).
+beside the commonest words, over all training documents.
 
 Training is parameter mixing: each partition takes gradient steps (Adagrad by row) on minibatches of
 its training documents, starting from shared weights; touched rows are averaged, weighted by their
@@ -32,8 +32,8 @@ HEADS, SIZE, TAILS = 24, 40, 24
 CLASSES = HEADS + TAILS
 #: Rows of the two weight tables; with their float32 rows 4 MB each.
 ROWS_C, ROWS_W = 1 << 14, 1 << 15
-#: Word endings told apart, context words and groups of the clustering, and documents that it samples.
-ENDINGS, CONTEXT, GROUPS, PROFILE_DOCS = 4096, 64, 8, 20_000
+#: Word endings told apart, context words and groups of the clustering.
+ENDINGS, CONTEXT, GROUPS = 4096, 64, 8
 BLOCK_BYTES = 16 << 20
 FAN_IN, CHUNK = 256, 1024
 BATCH = 2048
@@ -367,7 +367,7 @@ def _score(shared, n: int, v: int):
     return run
 
 
-def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2, profile_docs: int = PROFILE_DOCS) -> DataFrame:
+def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
 
     Learns from the rows whose crc32(doc_id as text) mod `mod` is not `out`. Tokens are the words, A-Z
@@ -393,10 +393,8 @@ def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2, prof
         ends[r.tail] -= r.c, 1
     order, tail_class = np.arange(len(head)), np.arange(ENDINGS) % TAILS
     if n:
-        many = train_texts.count()
-        some = train_texts.filter(F.pmod(text_hash("text"), F.lit(1 << 30)) < int(min(1.0, profile_docs / many) * (1 << 30)))
         profile = np.zeros((len(head) + ENDINGS, min(CONTEXT, len(head))))
-        for r in shipped(some).mapInArrow(_profile(head[:CONTEXT].view(_U), head.view(_U)), "unit int, beside int, n long").groupBy("unit", "beside").agg(F.sum("n").alias("n")).collect():
+        for r in shipped(train_texts).mapInArrow(_profile(head[:CONTEXT].view(_U), head.view(_U)), "unit int, beside int, n long").groupBy("unit", "beside").agg(F.sum("n").alias("n")).collect():
             profile[r.unit, r.beside] = r.n
         order, tail_class = _classes(profile, head_n, ends[:, 0])
     tails = np.stack([np.bincount(tail_class, ends[:, k], TAILS) for k in (0, 1)], 1)

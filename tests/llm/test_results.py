@@ -371,6 +371,15 @@ def test_every_position_trains(spark):
     assert (m.theta_c[rows] != 0).any(-1).all()
 
 
+def test_classes_come_from_all_training_documents(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "_classes", lambda profile, head_n, ending_n: seen.append(profile) or (np.arange(len(head_n)), np.arange(lm.ENDINGS) % lm.TAILS))
+    monkeypatch.setattr(lm, "train", lambda texts, model, **_: model)
+    lm.scores(spark.range(30_000).selectExpr("id as doc_id", "concat('red fox ', id % 9) as text"))
+    n = sum(not out(i, 7) for i in range(30_000))
+    assert seen[0].sum() == 10 * n, "of four tokens, 3 + 2 pairs within two, each seen from both ends"
+
+
 # -- 7
 
 
