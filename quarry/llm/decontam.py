@@ -6,7 +6,8 @@ Texts are cut into tokens: words and numbers. Two canonical forms are compared:
 A window is `window` canonical tokens (the whole item if that is shorter). Windows of the benchmark
 are hash-joined with the documents through an anchor, the window's longest literal: a document has a
 window only if it has its anchor, so tokens are first joined with the anchors and only around those
-hits are windows formed and their hashes compared. Then the values behind the placeholders must be
+hits are windows formed and their hashes compared. A window with too few literals in a form is exact there: its
+tokens are all taken as literals, numbers too, and must stand in the document as they are. Then the values behind the placeholders must be
 consistent along one alignment: equal values in the item are equal in the document.
 """
 
@@ -61,19 +62,22 @@ def values(tokens: Column, start: Column, size: Column) -> Column:
 
 
 def windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
-    """Windows of the items with at least `literals` literals: item_id, form, idx, size, n, anchor, off, second, off2, hash, canon, vals."""
+    """Windows of the items: item_id, form, exact, idx, size, n, anchor, off, second, off2, hash, canon, vals. Those with fewer than `literals` literals are exact."""
     items = benchmark.select("item_id", F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("tokens"))
-    items = items.distinct().withColumn("n", F.size("tokens")).filter(F.col("n") >= literals).withColumn("size", F.least(F.lit(window), F.col("n")))
+    items = items.distinct().withColumn("n", F.size("tokens")).filter(F.col("n") > 0).withColumn("size", F.least(F.lit(window), F.col("n")))
     at = items.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - F.col("size"))).alias("idx"))
     parts = []
     for form in FORMS:
         one = at.withColumn("form", F.lit(form)).withColumn("canon", window_of(F.col("tokens"), form, F.col("idx"), F.col("size")))
+        one = one.withColumn("vals", values(F.col("tokens"), F.col("idx"), F.col("size")))
+        one = one.withColumn("exact", F.size(F.filter("canon", lambda t: ~t.startswith("<"))) < F.least(F.lit(literals), F.col("size")))
+        one = one.withColumn("canon", F.when(F.col("exact"), F.col("vals")).otherwise(F.col("canon")))
         marked = F.transform("canon", lambda t, i: F.struct(F.when(t.startswith("<"), 0).otherwise(F.length(t)).alias("len"), t.alias("word"), i.alias("off")))
-        one = one.withColumn("order", F.sort_array(marked, asc=False)).withColumn("vals", values(F.col("tokens"), F.col("idx"), F.col("size")))
-        parts.append(one.filter(F.size(F.filter("canon", lambda t: ~t.startswith("<"))) >= F.least(F.lit(literals), F.col("size"))))
+        parts.append(one.withColumn("order", F.sort_array(marked, asc=False)))
     all_ = parts[0].union(parts[1])
-    first, second = F.get("order", F.lit(0)), F.get("order", F.lit(1))
-    return all_.select("item_id", "form", "idx", "size", "n", first.word.alias("anchor"), first.off.alias("off"), second.word.alias("second"), second.off.alias("off2"), F.xxhash64("canon").alias("hash"), "canon", "vals")
+    first = F.get("order", F.lit(0))
+    second = F.coalesce(F.get("order", F.lit(1)), first)  # a window of one token has no other
+    return all_.select("item_id", "form", "exact", "idx", "size", "n", first.word.alias("anchor"), first.off.alias("off"), second.word.alias("second"), second.off.alias("off2"), F.xxhash64("canon").alias("hash"), "canon", "vals")
 
 
 def _hits(docs: DataFrame, win: DataFrame) -> DataFrame:
@@ -87,10 +91,10 @@ def _hits(docs: DataFrame, win: DataFrame) -> DataFrame:
     hit = each.join(F.broadcast(win), (F.lower(bare(F.col("tok"))) == F.col("anchor")) & fits)
     lead = F.when(start > 0, 1).otherwise(0)
     # The id keeps what follows out of the join, whose rows hold whole token arrays and should stay in generated code.
-    hit = hit.select("doc_id", "thash", "item_id", "form", "n", "size", "idx", "hash", "vals", (start - F.col("idx")).alias("shift"), lead.alias("lead"),
+    hit = hit.select("doc_id", "thash", "item_id", "form", "exact", "n", "size", "idx", "hash", "vals", (start - F.col("idx")).alias("shift"), lead.alias("lead"),
                      F.slice("tokens", F.greatest(start + 1 - lead, F.lit(1)), F.col("size") + lead).alias("part"), F.monotonically_increasing_id().alias("barrier"))
     part, lead, size = F.col("part"), F.col("lead"), F.col("size")
-    hit = hit.withColumn("canon", F.when(F.col("form") == FORMS[0], window_of(part, FORMS[0], lead, size)).otherwise(window_of(part, FORMS[1], lead, size)))
+    hit = hit.withColumn("canon", F.when(F.col("exact"), values(part, lead, size)).when(F.col("form") == FORMS[0], window_of(part, FORMS[0], lead, size)).otherwise(window_of(part, FORMS[1], lead, size)))
     hit = hit.filter((F.xxhash64("canon") == F.col("hash")) & (F.col("barrier") >= 0))
     slots = F.filter(F.transform(F.arrays_zip("canon", "vals", values(part, lead, size).alias("own")), lambda z: F.when(z["canon"].startswith("<"), F.struct(z["vals"].alias("a"), z["own"].alias("b")))), lambda z: z.isNotNull())
     return hit.select("doc_id", "thash", "item_id", "form", "n", "size", "idx", "shift", slots.alias("pairs"))
@@ -101,7 +105,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literals:
 
     Windows count if their canonical tokens are equal and the values behind placeholders are consistent
     along their alignment. An item is carried if `cover` of its tokens, or all it has, are in such windows.
-    Items of fewer than `literals` tokens, and windows of fewer literals, are not searched. Null or empty
+    Windows of fewer than `literals` literals, and so items of fewer tokens with placeholders, must be found
+    as they are, case aside; an item of a token or two is thus in many documents. Null or empty
     texts and items match nothing. Repeated rows and null ids: one result for (doc_id, text). Other
     columns are not read; empty tables give an empty result.
     """

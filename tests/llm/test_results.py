@@ -544,6 +544,14 @@ def test_templates_and_slots(spark):
     assert found == {0: 17}, "3 cannot be both 8 and 9"
 
 
+def test_items_of_numbers_are_found_as_they_are(spark):
+    items = [(1, "What is 12 times 15?"), (2, "1 1 2 3 5 8 13 21 34 55 89"), (3, "Add 2 kg, 3 kg, 4 kg, 5 kg, 6 kg, 7 kg and then find out how much is left"), (4, "Why not?"), (5, "42")]
+    texts = ["so what is 12 times 15 then", "so what is 12 times 16 then", "from 1 1 2 3 5 8 13 21 34 55 89 on", "from 1 1 2 3 5 8 13 21 34 55 90 on 1",
+             "add 2 kg 3 kg 4 kg 5 kg 6 kg 7 kg and then", "add 2 kg 3 kg 4 kg 5 kg 6 kg 8 kg and then", "But why not", "He said 42."]
+    got = {(r["doc_id"], r["item_id"]): r["covered"] for r in H.rows(decontam.matches(H.frame(spark, list(enumerate(texts))), spark.createDataFrame(items, "item_id long, text string")))}
+    assert got == {(0, 1): 5, (2, 2): 11, (4, 3): 15, (6, 4): 2, (7, 5): 1}
+
+
 # -- the pipeline
 
 
