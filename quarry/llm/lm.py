@@ -1,24 +1,32 @@
 """Language-model scores: an exact add-one unigram base and a hashed maximum-entropy model.
 
 The model factors a token's probability into that of its class and that within the class:
-  class         softmax over CLASSES of sums of weight rows picked by hashed features of the context
+  class         softmax over the classes of sums of weight rows picked by hashed features of the context
                 (last word, last two words, last two classes, and past the last word the two classes before);
-  head classes  the commonest words, SIZE to a class: softmax over the class's words, with hashed
+  head classes  the commonest words, `size` to a class: softmax over the class's words, with hashed
                 features (last word, last two classes) of their own;
   tail classes  all other words by their last three bytes: add-one shares of the counts in the class,
                 words never seen being one word. So all probabilities of a context sum to 1.
 Head words and word endings are dealt to classes by the company they keep: k-means over their counts
 beside the commonest words, over all training documents.
 
+The model grows with the corpus: of V distinct training words, counted first, some sqrt(V) are predicted
+one by one, in some V**(1/4) classes of V**(1/4) words, and the weight tables have V**(1/4) rows (Shape).
+So the tables, which every task of training and scoring holds, take bytes in proportion to sqrt(V): 9 MB
+for a million words, 0.9 GB for ten thousand million.
+
 Training is parameter mixing: each partition takes gradient steps (Adagrad by row) on minibatches of
 its training documents, starting from shared weights; touched rows are averaged, weighted by their
 updates, in a tree of merges; then the next round starts. Each training document belongs to one round
-(by hash), in which each of its positions gives a gradient. Counts are exact and over all training documents. For scoring,
-documents are dealt to blocks of bounded bytes and each block meets the counts of just its own words.
+(by its place), in which each of its positions gives a gradient. Tasks are so few that what they send is a
+share of the text. Counts are exact and over all training documents. One first pass deals the documents
+to blocks of bounded bytes and lists each block's words; for scoring, each block meets the counts of those.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -26,17 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import in_training, shipped, text_hash, written
+from .common import in_training, shipped, written
 
-HEADS, SIZE, TAILS = 24, 40, 24
-CLASSES = HEADS + TAILS
-#: Rows of the two weight tables; with their float32 rows 4 MB each.
-ROWS_C, ROWS_W = 1 << 14, 1 << 15
 #: Word endings told apart, context words and groups of the clustering.
 ENDINGS, CONTEXT, GROUPS = 4096, 64, 8
-BLOCK_BYTES = 16 << 20
+#: Text of a block, and the share of the text's bytes that one round of training may send.
+BLOCK_BYTES, SENT = 16 << 20, 0.5
 FAN_IN, CHUNK = 256, 1024
-BATCH = 2048
+#: Tokens of a gradient step, and of a step of scoring.
+BATCH, SCORED = 8192, 2048
 #: Weights stay within this.
 LIMIT = 12.0
 _U = np.uint64
@@ -47,6 +53,32 @@ _CODE = np.arange(1, 257)
 _CODE[65:91] += 32
 
 
+@dataclass(frozen=True)
+class Shape:
+    """Head classes, words in each, tail classes, and rows of the two weight tables."""
+
+    heads: int
+    size: int
+    tails: int
+    rows_c: int
+    rows_w: int
+
+    @property
+    def classes(self) -> int:
+        return self.heads + self.tails
+
+    @property
+    def bytes(self) -> int:
+        return 4 * (self.rows_c * self.classes + self.rows_w * self.size)
+
+    @staticmethod
+    def of(vocabulary: int) -> Shape:
+        """For so many distinct training words."""
+        grow = (max(vocabulary, 1) / 1e6) ** 0.25
+        some = lambda n, least: max(least, round(n * grow))
+        return Shape(some(24, 2), some(40, 4), max(some(24, 2), GROUPS), some(1 << 14, 256), some(1 << 15, 256))
+
+
 class Tokens:
     """Folded words of a group's documents with an end behind each document."""
 
@@ -75,48 +107,53 @@ class Tokens:
 
 
 class Model:
-    """The shape and weights; small and of fixed size, whatever the corpus."""
+    """The shape and weights."""
 
-    def __init__(self, words: np.ndarray, counts: np.ndarray, tail_class: np.ndarray, tails: np.ndarray):
-        """words, counts: the head words in class order; tail_class: of the endings; tails: (TAILS, 2) tokens and distinct words."""
-        self.tail_class = tail_class
+    def __init__(self, shape: Shape, words: np.ndarray, counts: np.ndarray, tail_class: np.ndarray, tails: np.ndarray):
+        """words, counts: the head words in class order; tail_class: of the endings; tails: (tail classes, 2) tokens and distinct words."""
+        self.shape, self.tail_class = shape, tail_class
         self.words, self.counts = np.append(words, _U(0)), np.append(counts, 0).astype(np.int64)
-        self.salt = 0  # until no two words share a place
-        while len(np.unique(self.place(words))) < len(words):
-            self.salt += 1
-        self.table = np.full(1 << 18, len(words), np.int32)
-        self.table[self.place(words)] = np.arange(len(words))
-        inner = np.full((HEADS, SIZE), -1e9, np.float32)
+        # Words that share a place stand in levels.
+        self.bits = max(4, (16 * len(words)).bit_length())
+        at = self.place(words)
+        order = np.argsort(at, kind="stable")
+        level = np.arange(len(words)) - np.searchsorted(at[order], at[order])
+        self.levels = np.full((int(level.max(initial=0)) + 1, 1 << self.bits), len(words), np.int32)
+        self.levels[level, at[order]] = order
+        inner = np.full((shape.heads, shape.size), -1e9, np.float32)
         inner.ravel()[: len(words)] = np.log(counts + 1.0)
         self.inner = inner
         self.tail_total = tails.sum(1) + 1
-        heads = np.zeros(HEADS)
-        np.add.at(heads, np.arange(len(words)) // SIZE, counts + 1.0)
+        heads = np.zeros(shape.heads)
+        np.add.at(heads, np.arange(len(words)) // shape.size, counts + 1.0)
         mass = np.concatenate([heads, self.tail_total])
         self.bias = np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32)
-        self.bias[:HEADS][heads == 0] = -1e9
-        self.theta_c, self.theta_w = np.zeros((ROWS_C, CLASSES), np.float32), np.zeros((ROWS_W, SIZE), np.float32)
+        self.bias[: shape.heads][heads == 0] = -1e9
+        self.theta_c, self.theta_w = np.zeros((shape.rows_c, shape.classes), np.float32), np.zeros((shape.rows_w, shape.size), np.float32)
 
     def place(self, h: np.ndarray) -> np.ndarray:
-        return ((h ^ _U(self.salt)) * _U(0x9E3779B97F4A7C15) >> _U(46)).astype(np.int64)
+        return (h * _U(0x9E3779B97F4A7C15) >> _U(64 - self.bits)).astype(np.int64)
 
     def head(self, h: np.ndarray) -> np.ndarray:
         """Ranks of head words, -1 for others."""
-        at = self.table[self.place(h)]
-        return np.where((self.words[at] == h) & (at < len(self.words) - 1), at, -1)
+        at, out = self.place(h), np.full(len(h), -1, np.int32)
+        for table in self.levels:
+            rank = table[at]
+            hit = (self.words[rank] == h) & (rank < len(self.words) - 1)
+            out[hit] = rank[hit]
+        return out
 
     def features(self, t: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Head rank, class, and the rows of both weight tables, of the tokens."""
-        head = self.head(t.hash)
-        cls = np.where(head >= 0, head // SIZE, HEADS + self.tail_class[t.tail])
+        s, head = self.shape, self.head(t.hash)
+        cls = np.where(head >= 0, head // s.size, s.heads + self.tail_class[t.tail])
         code = cls.astype(_U)
         w1, w2 = t.back(t.hash, 1, START), t.back(t.hash, 2, START)
-        c1, c2, c3 = (t.back(code, k, _U(CLASSES)) for k in (1, 2, 3))
-        keys = [K.mix(w1), K.mix(w1 + _U(3) * w2), K.mix(c1 + _U(1000) * c2 + _U(1 << 40)), K.mix(c2 + _U(1000) * c3 + _U(1 << 41))]
-        rows_c = np.stack([k >> _U(64 - ROWS_C.bit_length() + 1) for k in keys]).astype(np.int32)
+        c1, c2, c3 = (t.back(code, k, _U(s.classes)) for k in (1, 2, 3))
+        keys = [K.mix(w1), K.mix(w1 + _U(3) * w2), K.mix(c1 + _U(100_003) * c2 + _U(1 << 40)), K.mix(c2 + _U(100_003) * c3 + _U(1 << 41))]
         inside = code * _U(0xA24BAED4963EE407) + _U(0x9E3779B97F4A7C15)
-        rows_w = np.stack([((k ^ inside) * _U(0xBF58476D1CE4E5B9)) >> _U(64 - ROWS_W.bit_length() + 1) for k in (keys[0], keys[2])]).astype(np.int32)
-        return head, cls, rows_c, rows_w
+        rows_w = np.stack([_row((k ^ inside) * _U(0xBF58476D1CE4E5B9), s.rows_w) for k in (keys[0], keys[2])])
+        return head, cls, np.stack([_row(k, s.rows_c) for k in keys]), rows_w
 
     def class_logits(self, rows: np.ndarray) -> np.ndarray:
         out = self.theta_c.take(rows[0], 0)
@@ -136,8 +173,8 @@ class Model:
         weights, so their exponentials need no shift."""
         head, cls, rows_c, rows_w = self.features(t)
         out = np.empty(len(head))
-        for a in range(0, len(head), BATCH):
-            b = slice(a, a + BATCH)
+        for a in range(0, len(head), SCORED):
+            b = slice(a, a + SCORED)
             z = self.class_logits(rows_c[:, b])
             own = z[np.arange(len(z)), cls[b]]
             np.exp(z, out=z)
@@ -145,14 +182,33 @@ class Model:
             at = np.flatnonzero(head[b] >= 0)
             if len(at):
                 z = self.word_logits(cls[b][at], rows_w[:, b][:, at])
-                own = z[np.arange(len(z)), head[b][at] % SIZE]
+                own = z[np.arange(len(z)), head[b][at] % self.shape.size]
                 np.exp(z, out=z)
                 out[a + at] += own - np.log(z.sum(1))
         tail = head < 0
-        out[tail] += np.log((count[tail] + 1) / self.tail_total[cls[tail] - HEADS])
+        out[tail] += np.log((count[tail] + 1) / self.tail_total[cls[tail] - self.shape.heads])
         return out / np.log(10)
 
 
+def _row(key: np.ndarray, rows: int) -> np.ndarray:
+    """The row of a table that a key's upper half picks; small numbers sort fast."""
+    return ((key >> _U(32)) * _U(rows) >> _U(32)).astype(np.uint16 if rows <= 1 << 16 else np.uint32)
+
+
+def _sums(x: np.ndarray, first: np.ndarray, size: np.ndarray, few: int = 16) -> np.ndarray:
+    """Sums of the runs of rows of x that begin at `first`, sorted by falling min(size, few)."""
+    out = x.take(first, 0)
+    longer = len(size) - np.searchsorted(np.minimum(size, few)[::-1], np.arange(1, few + 1), "left")
+    for k in range(1, few):
+        n = longer[k]
+        if not n:
+            return out
+        out[:n] += x.take(first[:n] + k, 0)
+    for i in np.flatnonzero(size > few):
+        out[i] = x[first[i] : first[i] + size[i]].sum(0)
+    return out
+
+
 class Steps:
     """Adagrad by row on the two tables of a model, counting updates."""
 
@@ -160,18 +216,24 @@ class Steps:
         self.model, self.rate = model, rate
         self.tables = (model.theta_c, model.theta_w)
         self.square = [np.full(len(t), 1e-3, np.float32) for t in self.tables]
-        self.seen = [np.zeros(len(t), np.int64) for t in self.tables]
+        self.seen = [np.zeros(len(t), np.int32) for t in self.tables]
 
     def update(self, which: int, rows: np.ndarray, grad: np.ndarray) -> None:
         table, square, seen = self.tables[which], self.square[which], self.seen[which]
         for r in rows:
             order = np.argsort(r, kind="stable")
-            s = r[order]
+            s = r.take(order)
             first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-            at, g = s[first], np.add.reduceat(grad[order], first, axis=0)
-            seen[at] += np.diff(np.append(first, len(s)))
-            square[at] += (g * g).mean(1)
-            new = table[at] - self.rate * g / np.sqrt(square[at])[:, None]
+            size = np.diff(np.append(first, len(s)))
+            by = np.argsort(np.minimum(size, 16).astype(np.uint8), kind="stable")[::-1]
+            first, size = first[by], size[by]
+            at = s[first]
+            g = _sums(grad.take(order, 0), first, size)
+            seen[at] += size
+            square[at] += np.einsum("ij,ij->i", g, g) / g.shape[1]
+            g *= (self.rate / np.sqrt(square[at]))[:, None]
+            new = table.take(at, 0)
+            new -= g
             table[at] = np.clip(new, -LIMIT, LIMIT, out=new)
 
     def learn(self, head: np.ndarray, cls: np.ndarray, rows_c: np.ndarray, rows_w: np.ndarray) -> None:
@@ -187,7 +249,7 @@ class Steps:
                 w = self.model.word_logits(cls[b][at], own)
                 np.exp(w, out=w)
                 w /= w.sum(1, keepdims=True)
-                w[np.arange(len(w)), head[b][at] % SIZE] -= 1
+                w[np.arange(len(w)), head[b][at] % self.model.shape.size] -= 1
                 self.update(1, own, w)
             self.update(0, rows_c[:, b], z)
 
@@ -218,6 +280,11 @@ def _profile(context: np.ndarray, heads: np.ndarray):
     return run
 
 
+def _far(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances of rows and centres."""
+    return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centres.T + (centres * centres).sum(1), 0)
+
+
 def _groups(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 25) -> np.ndarray:
     """Weighted k-means over the square roots of smoothed rows, from far-apart first centres."""
     x = x + 0.5 * x.sum(0) / max(x.sum(), 1)
@@ -225,10 +292,10 @@ def _groups(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 25) -> np.n
     w = np.sqrt(weight + 1e-9)
     centres = x[[int(np.argmax(w))]]
     for _ in range(k - 1):
-        far = ((x[:, None] - centres) ** 2).sum(2).min(1)
+        far = _far(x, centres).min(1)
         centres = np.concatenate([centres, x[[int(np.argmax(far * w))]]])
     for _ in range(rounds):
-        own = np.argmin(((x[:, None] - centres) ** 2).sum(2), 1)
+        own = np.argmin(_far(x, centres), 1)
         for j in range(k):
             m = (own == j) * weight
             if m.sum():
@@ -236,13 +303,13 @@ def _groups(x: np.ndarray, weight: np.ndarray, k: int, rounds: int = 25) -> np.n
     return own
 
 
-def _classes(profile: np.ndarray, head_n: np.ndarray, ending_n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _classes(profile: np.ndarray, head_n: np.ndarray, ending_n: np.ndarray, tails: int) -> tuple[np.ndarray, np.ndarray]:
     """The order of the head words that fills classes, and the tail class of each ending."""
     group = _groups(profile, np.concatenate([head_n, ending_n]), GROUPS)
     order = np.lexsort((-head_n, group[: len(head_n)]))
     tail, own = np.zeros(ENDINGS, np.int64), group[len(head_n) :]
     mass = np.bincount(own, ending_n, GROUPS)
-    share = np.floor(mass / max(mass.sum(), 1) * (TAILS - GROUPS)).astype(int) + 1
+    share = np.floor(mass / max(mass.sum(), 1) * (tails - GROUPS)).astype(int) + 1
     first = np.cumsum(share) - share
     for j in range(GROUPS):
         held = np.zeros(share[j])
@@ -253,7 +320,8 @@ def _classes(profile: np.ndarray, head_n: np.ndarray, ending_n: np.ndarray) -> t
     return order, tail
 
 
-_MIXED = "part long, which int, chunk int, seen binary, sums binary"
+_MIXED = "part long, which int, chunk int, seen binary, step binary"
+_MIXED_ARROW = pa.schema([("part", pa.int64()), ("which", pa.int32()), ("chunk", pa.int32()), ("seen", pa.binary()), ("step", pa.binary())])
 
 
 def _train(shared, rate: float):
@@ -261,7 +329,7 @@ def _train(shared, rate: float):
         import copy
 
         model = copy.deepcopy(shared.value)
-        steps, old = Steps(model, rate), [t.copy() for t in (model.theta_c, model.theta_w)]
+        steps, old = Steps(model, rate), shared.value
         held: list = []
 
         def flush():
@@ -277,72 +345,90 @@ def _train(shared, rate: float):
         flush()
         part = TaskContext.get().partitionId()
         out = []
-        for which, (table, was) in enumerate(zip(steps.tables, old, strict=True)):
-            for c in range(len(table) // CHUNK):
+        for which, (table, was) in enumerate(zip(steps.tables, (old.theta_c, old.theta_w), strict=True)):
+            for c in range(-(-len(table) // CHUNK)):
                 own = slice(c * CHUNK, (c + 1) * CHUNK)
                 seen = steps.seen[which][own]
                 if seen.any():
-                    sums = (table[own] - was[own]) * seen[:, None]
-                    out.append((part, which, c, seen.tobytes(), sums.astype(np.float32).tobytes()))
+                    out.append((part, which, c, seen.astype(np.int64).tobytes(), (table[own] - was[own]).astype(np.float16).tobytes()))
         if out:
-            yield pa.RecordBatch.from_pylist([dict(zip(("part", "which", "chunk", "seen", "sums"), x, strict=True)) for x in out],
-                                             pa.schema([("part", pa.int64()), ("which", pa.int32()), ("chunk", pa.int32()), ("seen", pa.binary()), ("sums", pa.binary())]))
+            yield pa.RecordBatch.from_pylist([dict(zip(_MIXED_ARROW.names, x, strict=True)) for x in out], _MIXED_ARROW)
 
     return run
 
 
 def _merge(batches):
-    """Sums of one chunk of some partitions, a batch at a time."""
+    """The mean step of one chunk over some partitions, weighted by updates, a batch at a time."""
     seen = sums = None
     for batch in batches:
         for row in batch.to_pylist():
-            n, s = np.frombuffer(row["seen"], np.int64), np.frombuffer(row["sums"], np.float32)
+            n = np.frombuffer(row["seen"], np.int64)
+            s = np.frombuffer(row["step"], np.float16).astype(np.float64).reshape(len(n), -1) * n[:, None]
             seen, sums = (n, s) if seen is None else (seen + n, sums + s)
             key = row["part"], row["which"], row["chunk"]
-    yield pa.RecordBatch.from_pylist([dict(zip(("part", "which", "chunk", "seen", "sums"), (*key, seen.tobytes(), sums.tobytes()), strict=True))],
-                                     pa.schema([("part", pa.int64()), ("which", pa.int32()), ("chunk", pa.int32()), ("seen", pa.binary()), ("sums", pa.binary())]))
+    step = (sums / np.maximum(seen, 1)[:, None]).astype(np.float16)
+    yield pa.RecordBatch.from_pylist([dict(zip(_MIXED_ARROW.names, (*key, seen.tobytes(), step.tobytes()), strict=True))], _MIXED_ARROW)
 
 
-def train(texts: DataFrame, model: Model, *, rounds: int = 2, rate: float = 0.3) -> Model:
-    """The model after `rounds` of parameter mixing over a one-column DataFrame of texts, each text in one round."""
+def train(texts: DataFrame, model: Model, size: int, *, rounds: int = 2, rate: float = 0.3) -> Model:
+    """The model after `rounds` of parameter mixing over (text, round) rows of some `size` bytes."""
     sc = texts.sparkSession.sparkContext
+    parts = min(texts.rdd.getNumPartitions(), max(1, int(SENT * size / (model.shape.bytes / 2))))
     for round_ in range(rounds):
         shared = sc.broadcast(model)
-        mixed = shipped(texts).filter(F.pmod(F.shiftright(text_hash("text"), 20), F.lit(rounds)) == round_).mapInArrow(_train(shared, rate), _MIXED)
-        parts = texts.rdd.getNumPartitions()
+        mixed = shipped(texts.filter(F.col("round") == round_).select("text").coalesce(parts)).mapInArrow(_train(shared, rate), _MIXED)
+        left = parts
         while True:
             mixed = mixed.withColumn("part", F.floor(F.col("part") / FAN_IN)).groupBy("part", "which", "chunk").applyInArrow(lambda t: pa.Table.from_batches(_merge(t.to_batches())), _MIXED)
-            parts = -(-parts // FAN_IN)
-            if parts <= 1:
+            left = -(-left // FAN_IN)
+            if left <= 1:
                 break
-        total: dict[tuple[int, int], list] = {}
-        for row in mixed.collect():  # one row for each chunk of the two tables: 8 MB at most
-            held = total.setdefault((row.which, row.chunk), [0, 0])
-            held[0] = held[0] + np.frombuffer(row.seen, np.int64)
-            held[1] = held[1] + np.frombuffer(row.sums, np.float32)
-        for (which, chunk), (seen, sums) in total.items():
-            table = (model.theta_c, model.theta_w)[which]
-            table[chunk * CHUNK : (chunk + 1) * CHUNK] += sums.reshape(CHUNK, -1) / np.maximum(seen, 1)[:, None]
+        for row in mixed.collect():  # one row for each chunk of the two tables
+            table = (model.theta_c, model.theta_w)[row.which]
+            step = np.frombuffer(row.step, np.float16).reshape(-1, table.shape[1])
+            table[row.chunk * CHUNK : row.chunk * CHUNK + len(step)] += step
         shared.destroy()
     return model
 
 
-def _word_counts(batches):
-    """(h, tail, n): the words of the training texts, counted by group."""
-    for batch in batches:
-        for g in K.groups(batch.column(0), 4 << 20):
-            t = Tokens(g)
-            h, first, n = np.unique(t.hash, return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t.tail[first].astype(np.int32)), pa.array(n)], ["h", "tail", "n"])
+_DEALT = "block long, doc_id long, held_out boolean, text string, h long, tail int, n long"
 
 
-def _block_words(table: pa.Table) -> pa.Table:
-    seen = []
-    for g in K.groups(table["text"]):
-        s, e = g.words()
-        seen.append(np.unique(np.append(K.span(K.prefix(K.FOLD[g.data]), s, e), END)))
-    h = np.unique(np.concatenate(seen))
-    return pa.table({"block": pa.array(np.full(len(h), table["block"][0].as_py(), np.int64)), "h": pa.array(h.view(np.int64))})
+def _deal():
+    """The documents with their block, each followed in time by rows (block, h, tail, n) of the block's words and
+    how often the training documents in it have them. A block is a partition's next documents of BLOCK_BYTES in all."""
+
+    def run(batches):
+        block, size, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def words():
+            h, tail, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            h, first, where = np.unique(h, return_index=True, return_inverse=True)
+            n = np.bincount(where, n, len(h)).astype(np.int64)
+            none = pa.nulls(len(h))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block)), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.string()), pa.array(h.view(np.int64)), pa.array(tail[first]), pa.array(n)], _names(_DEALT))
+
+        for batch in batches:
+            out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for g in K.groups(batch.column(2)):
+                own, none = slice(g.first, g.first + g.n), pa.nulls(g.n)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(g.n, block)), *(batch.column(i)[own] for i in range(3)), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], _names(_DEALT))
+                t = Tokens(g)
+                h, first, where = np.unique(t.hash, return_index=True, return_inverse=True)
+                held.append((h, t.tail[first], np.bincount(where, ~out[own][t.doc], len(h))))
+                size += len(g.data) + 16 * g.n
+                if size >= BLOCK_BYTES:
+                    yield words()
+                    block, size = block + 1, 0
+        if held:
+            yield words()
+
+    return run
+
+
+def _names(schema: str) -> list[str]:
+    return [x.split()[0] for x in schema.split(", ")]
 
 
 def _score(shared, n: int, v: int):
@@ -353,13 +439,14 @@ def _score(shared, n: int, v: int):
         h, count = h[order], words["c"].to_numpy()[order]
         for g in K.groups(docs["text"].combine_chunks()):
             t = Tokens(g)
-            head = model.head(t.hash)
-            c, rest = model.counts[head], np.flatnonzero(head < 0)
+            head = model.head(t.hash) if model else np.full(len(t.hash), -1)
+            c = model.counts[head] if model else np.zeros(len(head), np.int64)
+            rest = np.flatnonzero(head < 0)
             at = np.minimum(np.searchsorted(h, t.hash[rest]), len(h) - 1)
             assert (h[at] == t.hash[rest]).all(), "a block's words must all be in its dictionary"
             c[rest] = count[at]
             base = np.bincount(t.doc, np.log10((c + 1) / (n + v + 1)), g.n)
-            out.append((t.n, np.bincount(t.doc[c > 0], minlength=g.n), base, np.bincount(t.doc, model.log10(t, c), g.n)))
+            out.append((t.n, np.bincount(t.doc[c > 0], minlength=g.n), base, np.bincount(t.doc, model.log10(t, c), g.n) if model else base))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)]
         names = ("n_tokens", "n_known", "base_score", "score")
         return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], **dict(zip(names, map(pa.array, cols), strict=True))})
@@ -367,44 +454,51 @@ def _score(shared, n: int, v: int):
     return run
 
 
-def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
-
-    Learns from the rows whose crc32(doc_id as text) mod `mod` is not `out`. Tokens are the words, A-Z
-    folded, and one end; base_score sums log10((c + 1) / (N + V + 1)). Null and empty texts are one end.
-    Null ids hash as ''; repeated rows each get a row; other columns are not read. An empty table gives
-    an empty result; with nothing to learn from, every count is 0. Words are told apart by 64-bit hashes.
-    """
-    spark = docs.sparkSession
-    learn = in_training("doc_id", mod, out)
-    train_texts = docs.filter(learn).select(F.coalesce("text", F.lit("")).alias("text"))
-    counts = shipped(train_texts).mapInArrow(_word_counts, "h long, tail int, n long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("c"))
-    counts = written(counts, "words")
-    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+def fit(dealt: DataFrame, counts: DataFrame, v: int, *, rounds: int = 2) -> Model:
+    """The model of the documents and words that scores() deals; v: distinct training words, at least one."""
+    shape = Shape.of(v)
     end = int(np.array(END).view(np.int64))
-    top = counts.filter(F.col("h") != end).orderBy(F.desc("c"), "h").limit(HEADS * SIZE - 1).collect()
-    top = [(r.h, r.c) for r in top] + [(r.h, r.c) for r in counts.filter(F.col("h") == end).collect()]
-    top.sort(key=lambda r: (-r[1], r[0]))
+    top = [(r.h, r.c) for r in counts.orderBy(F.desc("c"), "h").limit(shape.heads * shape.size).collect()]
+    if end not in [h for h, _ in top]:
+        top = top[:-1] + [(r.h, r.c) for r in counts.filter(F.col("h") == end).collect()]
     head, head_n = np.array([r[0] for r in top], np.int64), np.array([r[1] for r in top], float)
     ends = np.zeros((ENDINGS, 2))
     for r in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
         ends[r.tail] = r.c, r.n
-    for r in counts.filter(F.col("h").isin(*map(int, head))).collect() if len(head) else []:
+    mine = dealt.sparkSession.createDataFrame([(int(h),) for h in head], "h long")
+    for r in counts.join(F.broadcast(mine), "h").select("tail", "c").collect():
         ends[r.tail] -= r.c, 1
-    order, tail_class = np.arange(len(head)), np.arange(ENDINGS) % TAILS
-    if n:
-        profile = np.zeros((len(head) + ENDINGS, min(CONTEXT, len(head))))
-        for r in shipped(train_texts).mapInArrow(_profile(head[:CONTEXT].view(_U), head.view(_U)), "unit int, beside int, n long").groupBy("unit", "beside").agg(F.sum("n").alias("n")).collect():
-            profile[r.unit, r.beside] = r.n
-        order, tail_class = _classes(profile, head_n, ends[:, 0])
-    tails = np.stack([np.bincount(tail_class, ends[:, k], TAILS) for k in (0, 1)], 1)
-    model = Model(head[order].view(_U), head_n[order], tail_class, tails)
-    if n:
-        model = train(train_texts, model, rounds=rounds)
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~learn).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(F.xxhash64("doc_id", text_hash("text")), F.lit(blocks)).alias("block"))
-    words = dealt.groupBy("block").applyInArrow(_block_words, "block long, h long").join(counts.select("h", "c"), "h", "left").select("block", "h", F.coalesce("c", F.lit(0)).alias("c"))
+    learned = dealt.filter("text is not null and not held_out")
+    texts = learned.select("text")
+    profile = np.zeros((len(head) + ENDINGS, min(CONTEXT, len(head))))
+    for r in shipped(texts).mapInArrow(_profile(head[:CONTEXT].view(_U), head.view(_U)), "unit int, beside int, n long").groupBy("unit", "beside").agg(F.sum("n").alias("n")).collect():
+        profile[r.unit, r.beside] = r.n
+    order, tail_class = _classes(profile, head_n, ends[:, 0], shape.tails)
+    tails = np.stack([np.bincount(tail_class, ends[:, k], shape.tails) for k in (0, 1)], 1)
+    model = Model(shape, head[order].view(_U), head_n[order], tail_class, tails)
+    size = learned.agg(F.sum(F.octet_length("text"))).first()[0]
+    return train(learned.select("text", F.pmod(F.xxhash64("block", "text"), F.lit(rounds)).alias("round")), model, size, rounds=rounds)
+
+
+def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs.
+
+    Learns from the rows whose crc32(doc_id as text) mod `mod` is not `out`. Tokens are the words, A-Z
+    folded, and one end; base_score sums log10((c + 1) / (N + V + 1)). Null and empty texts are one end.
+    Texts of any length are read whole. Null ids hash as ''; repeated rows each get a row, and blocks go by
+    place, so any number of them is dealt out; of equally common words the lesser hash is a head word; other
+    columns are not read. doc_id must be an integer. An empty table gives an empty result; with nothing to
+    learn from, every count is 0 and score is base_score. Words are told apart by 64-bit hashes.
+    """
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~in_training("doc_id", mod, out)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = written(shipped(rows).mapInArrow(_deal(), _DEALT), "dealt")
+    words = dealt.filter("text is null").select("block", "h", "tail", "n")
+    counts = written(words.groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("c")), "words")
+    known = counts.filter("c > 0")
+    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    shared = docs.sparkSession.sparkContext.broadcast(fit(dealt, known, v, rounds=rounds) if n else None)
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    found = dealt.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_score(spark.sparkContext.broadcast(model), n, v), schema)
+    texts = dealt.filter("text is not null").select("block", "doc_id", "held_out", "text")
+    counted = words.select(F.col("block").alias("of"), "h").join(counts.select("h", "c"), "h")
+    found = texts.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(_score(shared, n, v), schema)
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

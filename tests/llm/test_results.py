@@ -342,14 +342,21 @@ def test_scores(spark, docs):
     assert np.mean(gain) > 0
 
 
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(6)
-    k = lm.HEADS * lm.SIZE
+def model_of(k, rng, v=300_000):
+    """A model with random weights and k head words, and their hashes."""
+    shape = lm.Shape.of(v)
     words = rng.integers(1, 1 << 63, k).astype(np.uint64)
-    tails = np.stack([rng.integers(50, 900, lm.TAILS), rng.integers(1, 50, lm.TAILS)], 1).astype(float)
-    m = lm.Model(words, rng.integers(1, 500, k).astype(float), np.arange(lm.ENDINGS) % lm.TAILS, tails)
+    tails = np.stack([rng.integers(50, 900, shape.tails), rng.integers(1, 50, shape.tails)], 1).astype(float)
+    m = lm.Model(shape, words, rng.integers(1, 500, k).astype(float), np.arange(lm.ENDINGS) % shape.tails, tails)
     m.theta_c[:] = rng.normal(size=m.theta_c.shape)
     m.theta_w[:] = rng.normal(size=m.theta_w.shape)
+    return m, words
+
+
+def test_probabilities_sum_to_one():
+    rng = np.random.default_rng(6)
+    shape = lm.Shape.of(300_000)
+    m, words = model_of(shape.heads * shape.size, rng)
     t = lm.Tokens(next(kernels.groups(pa.array(["some words to stand before"]))))
     total = 0.0
     last = len(t.hash) - 1
@@ -357,29 +364,95 @@ def test_probabilities_sum_to_one():
         t.hash[last] = h
         total += 10 ** m.log10(t, np.zeros(len(t.hash)))[last]
     t.hash[last] = 12345
-    for c in range(lm.TAILS):  # known words: (n + v) / all; unknown: 1 / all
+    for c in range(shape.tails):  # known words: (n + v) / all; unknown: 1 / all
         t.tail[last] = c
         total += 10 ** m.log10(t, np.zeros(len(t.hash)))[last] * m.tail_total[c]
     assert abs(total - 1) < 1e-4
 
 
+def test_score_follows_from_the_weights(spark, monkeypatch):
+    """The sum over tokens of log10 P(class) P(word in the class), recomputed from the model's tables in plain Python."""
+    held = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda *a, **k: held.append(fit(*a, **k)) or held[0])
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["red", "Fox", "runs", "over", "a", f"hill{rng.randrange(40)}"]) for _ in range(rng.randrange(30))) for _ in range(60)]
+    got = {r["doc_id"]: r for r in H.rows(lm.scores(H.frame(spark, list(enumerate(texts)))))}
+    m, top = held[0], (1 << 64) - 1
+
+    def mix(x):
+        x = (x + 0x9E3779B97F4A7C15) & top
+        x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & top
+        x = ((x ^ x >> 27) * 0x94D049BB133111EB) & top
+        return x ^ x >> 31
+
+    row = lambda key, n: (key >> 32) * n >> 32
+    c = Counter(w for i, t in enumerate(texts) if not out(i, 7) for w in [*H.words(t.translate(H.FOLD)), None])
+    rank = {int(h): i for i, h in enumerate(m.words[:-1])}
+    for i, text in enumerate(texts):
+        t = lm.Tokens(next(kernels.groups(pa.array([text])), None) or kernels.Group(np.zeros(0, np.uint8), np.zeros(2, int), 0))
+        hs, tails, s, total = [int(x) for x in t.hash], [int(x) for x in t.tail], m.shape, 0.0
+        cls = [rank[h] // s.size if h in rank else s.heads + int(m.tail_class[e]) for h, e in zip(hs, tails, strict=True)]
+        for k, (h, own, word) in enumerate(zip(hs, cls, [*H.words(text.translate(H.FOLD)), None], strict=True)):
+            w1, w2 = (hs[k - j] if k >= j else int(lm.START) for j in (1, 2))
+            c1, c2, c3 = (cls[k - j] if k >= j else s.classes for j in (1, 2, 3))
+            keys = [mix(w1), mix((w1 + 3 * w2) & top), mix(c1 + 100_003 * c2 + (1 << 40)), mix(c2 + 100_003 * c3 + (1 << 41))]
+            z = m.bias.astype(float) + sum(m.theta_c[row(key, s.rows_c)].astype(float) for key in keys)
+            total += z[own] - np.log(np.exp(z).sum())
+            if h in rank:
+                inside = own * 0xA24BAED4963EE407 + 0x9E3779B97F4A7C15 & top
+                z = m.inner[own].astype(float) + sum(m.theta_w[row((keys[j] ^ inside) * 0xBF58476D1CE4E5B9 & top, s.rows_w)].astype(float) for j in (0, 2))
+                total += z[rank[h] % s.size] - np.log(np.exp(z).sum())
+            else:
+                total += np.log((c[word] + 1) / m.tail_total[own - s.heads])
+        assert abs(got[i]["score"] - total / np.log(10)) < 1e-3 * len(hs)
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(11)
+    rows = np.sort(rng.zipf(1.2, 3000) % 300)
+    x = rng.normal(size=(3000, 5)).astype(np.float32)
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    size = np.diff(np.append(first, 3000))
+    by = np.argsort(-np.minimum(size, 16), kind="stable")
+    got = lm._sums(x, first[by], size[by])
+    assert size.max() > 100 and np.allclose(got, np.add.reduceat(x, first, axis=0)[by], atol=1e-3)
+
+
+def test_the_model_grows_with_the_vocabulary():
+    small, large = lm.Shape.of(10**5), lm.Shape.of(10**9)
+    assert all(getattr(large, k) >= 9 * getattr(small, k) for k in ("heads", "size", "rows_c", "rows_w"))
+    assert 90 < large.bytes / small.bytes < 110, "as the square root"
+
+
 def test_every_position_trains(spark):
     texts = [" ".join(f"w{i * 7 + j * j}" for j in range(12)) for i in range(40)]
-    m = lm.Model(np.arange(1, 4, dtype=np.uint64), np.ones(3), np.arange(lm.ENDINGS) % lm.TAILS, np.full((lm.TAILS, 2), 9.0))
-    lm.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(2), m)
+    shape = lm.Shape.of(1000)
+    m = lm.Model(shape, np.arange(1, 4, dtype=np.uint64), np.ones(3), np.arange(lm.ENDINGS) % shape.tails, np.full((shape.tails, 2), 9.0))
+    lm.train(spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "text string, round int").repartition(2), m, 10**6)
     _, _, rows, _ = m.features(lm.Tokens(next(kernels.groups(pa.array(texts)))))
     assert (m.theta_c[rows] != 0).any(-1).all()
 
 
 def test_classes_come_from_all_training_documents(spark, monkeypatch):
     seen = []
-    monkeypatch.setattr(lm, "_classes", lambda profile, head_n, ending_n: seen.append(profile) or (np.arange(len(head_n)), np.arange(lm.ENDINGS) % lm.TAILS))
-    monkeypatch.setattr(lm, "train", lambda texts, model, **_: model)
+    monkeypatch.setattr(lm, "_classes", lambda profile, head_n, ending_n, tails: seen.append(profile) or (np.arange(len(head_n)), np.arange(lm.ENDINGS) % tails))
+    monkeypatch.setattr(lm, "train", lambda texts, model, size, **_: model)
     lm.scores(spark.range(30_000).selectExpr("id as doc_id", "concat('red fox ', id % 9) as text"))
     n = sum(not out(i, 7) for i in range(30_000))
     assert seen[0].sum() == 10 * n, "of four tokens, 3 + 2 pairs within two, each seen from both ends"
 
 
+def test_repeated_rows_are_dealt_to_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
+    d = spark.createDataFrame([(7, "one row that is repeated very often")], "doc_id long, text string").crossJoin(spark.range(500)).select("doc_id", "text")
+    dealt = d.select("doc_id", lm.F.lit(False).alias("held_out"), "text").mapInArrow(lm._deal(), lm._DEALT)
+    sizes = Counter(r.block for r in dealt.filter("text is not null").collect())
+    assert sum(sizes.values()) == 500 and len(sizes) > 1
+    got = H.rows(lm.scores(d))
+    assert len(got) == 500 and len({(r["score"], r["base_score"]) for r in got}) == 1
+
+
 # -- 7
 
 
