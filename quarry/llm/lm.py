@@ -18,9 +18,9 @@ for a million words, 0.9 GB for ten thousand million.
 Training is parameter mixing: each partition takes gradient steps (Adagrad by row) on minibatches of
 its training documents, starting from shared weights; touched rows are averaged, weighted by their
 updates, in a tree of merges; then the next round starts. Each training document belongs to one round
-(by its place), in which each of its positions gives a gradient. Tasks are so few that what they send is a
-share of the text. Counts are exact and over all training documents. One first pass deals the documents
-to blocks of bounded bytes and lists each block's words; for scoring, each block meets the counts of those.
+(by hash), in which each of its positions gives a gradient. Tasks are so few that what they send is a
+share of the text. Counts are exact and over all training documents. For scoring, some sqrt(V) common words'
+counts go with the model; other words, a few per cent of the tokens, meet their counts in a join.
 """
 
 from __future__ import annotations
@@ -34,12 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import in_training, shipped, written
+from .common import in_training, shipped, text_hash, written
 
 #: Word endings told apart, context words and groups of the clustering.
 ENDINGS, CONTEXT, GROUPS = 4096, 64, 8
-#: Text of a block, and the share of the text's bytes that one round of training may send.
-BLOCK_BYTES, SENT = 16 << 20, 0.5
+#: The share of the text's bytes that one round of training may send.
+SENT = 0.2
 FAN_IN, CHUNK = 256, 1024
 #: Tokens of a gradient step, and of a step of scoring.
 BATCH, SCORED = 8192, 2048
@@ -71,6 +71,11 @@ class Shape:
     def bytes(self) -> int:
         return 4 * (self.rows_c * self.classes + self.rows_w * self.size)
 
+    @property
+    def common(self) -> int:
+        """Words whose counts go with the model: some 128 sqrt(V)."""
+        return 128 * self.heads * self.size
+
     @staticmethod
     def of(vocabulary: int) -> Shape:
         """For so many distinct training words."""
@@ -190,6 +195,14 @@ class Model:
         return out / np.log(10)
 
 
+class Unknown:
+    """In place of a model where there is nothing to learn from."""
+
+    @staticmethod
+    def log10(t: Tokens, _) -> np.ndarray:
+        return np.zeros(len(t.hash))
+
+
 def _row(key: np.ndarray, rows: int) -> np.ndarray:
     """The row of a table that a key's upper half picks; small numbers sort fast."""
     return ((key >> _U(32)) * _U(rows) >> _U(32)).astype(np.uint16 if rows <= 1 << 16 else np.uint32)
@@ -391,71 +404,52 @@ def train(texts: DataFrame, model: Model, size: int, *, rounds: int = 2, rate: f
     return model
 
 
-_DEALT = "block long, doc_id long, held_out boolean, text string, h long, tail int, n long"
+def _word_counts(batches):
+    """(h, tail, n): the words of the training texts, counted by group."""
+    for batch in batches:
+        for g in K.groups(batch.column(0)):
+            t = Tokens(g)
+            h, first, n = np.unique(t.hash, return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(t.tail[first].astype(np.int32)), pa.array(n)], ["h", "tail", "n"])
 
 
-def _deal():
-    """The documents with their block, each followed in time by rows (block, h, tail, n) of the block's words and
-    how often the training documents in it have them. A block is a partition's next documents of BLOCK_BYTES in all."""
+_PARTS = "doc_id long, thash long, held_out boolean, h long, tf long, n_tokens long, n_known long, base double, score double"
 
-    def run(batches):
-        block, size, held = TaskContext.get().partitionId() << 32, 0, []
 
-        def words():
-            h, tail, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            h, first, where = np.unique(h, return_index=True, return_inverse=True)
-            n = np.bincount(where, n, len(h)).astype(np.int64)
-            none = pa.nulls(len(h))
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(h), block)), none.cast(pa.int64()), none.cast(pa.bool_()), none.cast(pa.string()), pa.array(h.view(np.int64)), pa.array(tail[first]), pa.array(n)], _names(_DEALT))
+def _score(shared, n: int, v: int):
+    """For each document a row of what the model and the common words say (tf 0; h is any number), and
+    a row for each other word in it: base and score lack log10(c + 1) for each of those."""
+    names = [x.split()[0] for x in _PARTS.split(", ")]
 
+    def run(batches):
+        model, h, count = shared.value
         for batch in batches:
-            out = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for g in K.groups(batch.column(2)):
-                own, none = slice(g.first, g.first + g.n), pa.nulls(g.n)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(g.n, block)), *(batch.column(i)[own] for i in range(3)), none.cast(pa.int64()), none.cast(pa.int32()), none.cast(pa.int64())], _names(_DEALT))
+            for g in K.groups(batch.column(3)):
                 t = Tokens(g)
-                h, first, where = np.unique(t.hash, return_index=True, return_inverse=True)
-                held.append((h, t.tail[first], np.bincount(where, ~out[own][t.doc], len(h))))
-                size += len(g.data) + 16 * g.n
-                if size >= BLOCK_BYTES:
-                    yield words()
-                    block, size = block + 1, 0
-        if held:
-            yield words()
-
-    return run
-
-
-def _names(schema: str) -> list[str]:
-    return [x.split()[0] for x in schema.split(", ")]
-
-
-def _score(shared, n: int, v: int):
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        model, out = shared.value, []
-        h = words["h"].to_numpy().view(_U)
-        order = np.argsort(h)
-        h, count = h[order], words["c"].to_numpy()[order]
-        for g in K.groups(docs["text"].combine_chunks()):
-            t = Tokens(g)
-            head = model.head(t.hash) if model else np.full(len(t.hash), -1)
-            c = model.counts[head] if model else np.zeros(len(head), np.int64)
-            rest = np.flatnonzero(head < 0)
-            at = np.minimum(np.searchsorted(h, t.hash[rest]), len(h) - 1)
-            assert (h[at] == t.hash[rest]).all(), "a block's words must all be in its dictionary"
-            c[rest] = count[at]
-            base = np.bincount(t.doc, np.log10((c + 1) / (n + v + 1)), g.n)
-            out.append((t.n, np.bincount(t.doc[c > 0], minlength=g.n), base, np.bincount(t.doc, model.log10(t, c), g.n) if model else base))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
-        names = ("n_tokens", "n_known", "base_score", "score")
-        return pa.table({"doc_id": docs["doc_id"], "held_out": docs["held_out"], **dict(zip(names, map(pa.array, cols), strict=True))})
+                at = np.minimum(np.searchsorted(h, t.hash), len(h) - 1)
+                known = h[at] == t.hash
+                c = np.where(known, count[at], 0)
+                base = np.bincount(t.doc, np.log10((c + 1) / (n + v + 1)), g.n)
+                cols = (t.n, np.bincount(t.doc[known], minlength=g.n), base, np.bincount(t.doc, model.log10(t, c), g.n))
+                own = [batch.column(i)[g.first : g.first + g.n] for i in range(3)]
+                place = K.keyed(np.arange(g.n).astype(_U), np.full(g.n, batch.num_rows) + own[0].fill_null(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([*own, pa.array(place.view(np.int64)), pa.array(np.zeros(g.n, np.int64)), *map(pa.array, cols)], names)
+                rest = np.flatnonzero(~known)
+                if not len(rest):
+                    continue
+                first, tf = np.unique(K.keyed(t.hash[rest], t.doc[rest]), return_index=True, return_counts=True)[1:]
+                rest = rest[first]
+                order = np.argsort(t.doc[rest], kind="stable")
+                rest, tf = rest[order], tf[order]
+                none = pa.nulls(len(rest))
+                own = [x.take(pa.array(t.doc[rest])) for x in own[:2]]
+                yield pa.RecordBatch.from_arrays([*own, none.cast(pa.bool_()), pa.array(t.hash[rest].view(np.int64)), pa.array(tf), none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.float64()), none.cast(pa.float64())], names)
 
     return run
 
 
-def fit(dealt: DataFrame, counts: DataFrame, v: int, *, rounds: int = 2) -> Model:
-    """The model of the documents and words that scores() deals; v: distinct training words, at least one."""
+def fit(texts: DataFrame, counts: DataFrame, v: int, *, rounds: int = 2) -> Model:
+    """The model of a one-column DataFrame of texts and their `v` counted words (h, tail, c), one at least."""
     shape = Shape.of(v)
     end = int(np.array(END).view(np.int64))
     top = [(r.h, r.c) for r in counts.orderBy(F.desc("c"), "h").limit(shape.heads * shape.size).collect()]
@@ -465,19 +459,17 @@ def fit(dealt: DataFrame, counts: DataFrame, v: int, *, rounds: int = 2) -> Mode
     ends = np.zeros((ENDINGS, 2))
     for r in counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("n")).collect():
         ends[r.tail] = r.c, r.n
-    mine = dealt.sparkSession.createDataFrame([(int(h),) for h in head], "h long")
+    mine = texts.sparkSession.createDataFrame([(int(h),) for h in head], "h long")
     for r in counts.join(F.broadcast(mine), "h").select("tail", "c").collect():
         ends[r.tail] -= r.c, 1
-    learned = dealt.filter("text is not null and not held_out")
-    texts = learned.select("text")
     profile = np.zeros((len(head) + ENDINGS, min(CONTEXT, len(head))))
     for r in shipped(texts).mapInArrow(_profile(head[:CONTEXT].view(_U), head.view(_U)), "unit int, beside int, n long").groupBy("unit", "beside").agg(F.sum("n").alias("n")).collect():
         profile[r.unit, r.beside] = r.n
     order, tail_class = _classes(profile, head_n, ends[:, 0], shape.tails)
     tails = np.stack([np.bincount(tail_class, ends[:, k], shape.tails) for k in (0, 1)], 1)
     model = Model(shape, head[order].view(_U), head_n[order], tail_class, tails)
-    size = learned.agg(F.sum(F.octet_length("text"))).first()[0]
-    return train(learned.select("text", F.pmod(F.xxhash64("block", "text"), F.lit(rounds)).alias("round")), model, size, rounds=rounds)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0]
+    return train(texts.select("text", F.pmod(F.shiftright(text_hash("text"), 20), F.lit(rounds)).alias("round")), model, size, rounds=rounds)
 
 
 def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2) -> DataFrame:
@@ -485,20 +477,31 @@ def scores(docs: DataFrame, *, mod: int = 7, out: int = 2, rounds: int = 2) -> D
 
     Learns from the rows whose crc32(doc_id as text) mod `mod` is not `out`. Tokens are the words, A-Z
     folded, and one end; base_score sums log10((c + 1) / (N + V + 1)). Null and empty texts are one end.
-    Texts of any length are read whole. Null ids hash as ''; repeated rows each get a row, and blocks go by
-    place, so any number of them is dealt out; of equally common words the lesser hash is a head word; other
-    columns are not read. doc_id must be an integer. An empty table gives an empty result; with nothing to
-    learn from, every count is 0 and score is base_score. Words are told apart by 64-bit hashes.
+    Texts of any length are read whole. Null ids hash as ''; repeated rows each get a row; of equally common
+    words the lesser hash is a head word; other columns are not read. doc_id must be an integer. An empty
+    table gives an empty result; with nothing to learn from, every count is 0 and score is base_score, 0.
+    Words are told apart by 64-bit hashes.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (~in_training("doc_id", mod, out)).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    dealt = written(shipped(rows).mapInArrow(_deal(), _DEALT), "dealt")
-    words = dealt.filter("text is null").select("block", "h", "tail", "n")
-    counts = written(words.groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("c")), "words")
-    known = counts.filter("c > 0")
-    n, v = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    shared = docs.sparkSession.sparkContext.broadcast(fit(dealt, known, v, rounds=rounds) if n else None)
-    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    texts = dealt.filter("text is not null").select("block", "doc_id", "held_out", "text")
-    counted = words.select(F.col("block").alias("of"), "h").join(counts.select("h", "c"), "h")
-    found = texts.groupBy("block").cogroup(counted.groupBy("of")).applyInArrow(_score(shared, n, v), schema)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    held = ~in_training("doc_id", mod, out)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("thash"), held.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = rows.filter("not held_out").select("text")
+    counts = written(shipped(texts).mapInArrow(_word_counts, "h long, tail int, n long").groupBy("h").agg(F.first("tail").alias("tail"), F.sum("n").alias("c")), "words")
+    n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    if n:
+        model = fit(texts, counts, v, rounds=rounds)
+        common = counts.orderBy(F.desc("c"), "h").limit(model.shape.common).select("h", "c").toArrow()
+        h, c = common["h"].to_numpy().view(_U), common["c"].to_numpy()
+        known = h[order := np.argsort(h)], c[order]
+    else:
+        model, known = Unknown(), (np.array([END]), np.zeros(1, np.int64))
+    parts = shipped(rows).mapInArrow(_score(docs.sparkSession.sparkContext.broadcast((model, *known)), n, v), _PARTS)
+    met = parts.join(counts.select("h", "c"), "h", "left")
+    one = met.groupBy("doc_id", "thash").agg(
+        F.sum((F.col("tf") == 0).cast("long")).alias("times"), *(F.max(x).alias(x) for x in ("held_out", "n_tokens", "n_known", "base", "score")),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("tf"))).alias("more"), F.sum(F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 1)).alias("rest"))
+    # Rows that are repeated were added up; they part again, in two steps, as one array could get too long.
+    each = one.withColumn("a", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / 1000))))
+    each = each.withColumn("b", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("times") - F.col("a") * 1000))))
+    rest = F.col("rest") / F.col("times")
+    return each.select("doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce((F.col("more") / F.col("times")).cast("long"), F.lit(0))).alias("n_known"),
+                       F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + rest).alias("base_score"), (F.col("score") + rest).alias("score"))

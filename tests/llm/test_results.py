@@ -438,19 +438,17 @@ def test_classes_come_from_all_training_documents(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(lm, "_classes", lambda profile, head_n, ending_n, tails: seen.append(profile) or (np.arange(len(head_n)), np.arange(lm.ENDINGS) % tails))
     monkeypatch.setattr(lm, "train", lambda texts, model, size, **_: model)
-    lm.scores(spark.range(30_000).selectExpr("id as doc_id", "concat('red fox ', id % 9) as text"))
+    lm.scores(spark.range(30_000).selectExpr("id as doc_id", "concat('red fox ', id % 4) as text"))
     n = sum(not out(i, 7) for i in range(30_000))
     assert seen[0].sum() == 10 * n, "of four tokens, 3 + 2 pairs within two, each seen from both ends"
 
 
-def test_repeated_rows_are_dealt_to_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 2000)
-    d = spark.createDataFrame([(7, "one row that is repeated very often")], "doc_id long, text string").crossJoin(spark.range(500)).select("doc_id", "text")
-    dealt = d.select("doc_id", lm.F.lit(False).alias("held_out"), "text").mapInArrow(lm._deal(), lm._DEALT)
-    sizes = Counter(r.block for r in dealt.filter("text is not null").collect())
-    assert sum(sizes.values()) == 500 and len(sizes) > 1
+def test_repeated_rows_get_a_row_each(spark):
+    rows = [(7, "one row that is repeated very often of a rare kind")] * 2500 + [(8, "other words"), (8, "other words"), (None, None), (9, "one row")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
     got = H.rows(lm.scores(d))
-    assert len(got) == 500 and len({(r["score"], r["base_score"]) for r in got}) == 1
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(i) for i, _ in rows)
+    assert len({(r["n_known"], r["score"], r["base_score"]) for r in got if r["doc_id"] == 7}) == 1
 
 
 # -- 7
