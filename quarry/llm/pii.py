@@ -207,7 +207,9 @@ def _date(m: re.Match) -> Value | None:
 
 
 def _email(m: re.Match) -> Value | None:
-    local, _, host = m[0].rpartition("@")
+    local, _, host = m["v"].rpartition("@")
+    if len(local) > 64:  # longer names are not valid
+        return None
     number, size, chars = _mixed(local)
     return Value(number, size, f"mail{re.sub('[a-z]', 'a', re.sub('[0-9]', '0', local.lower()))}@{host.lower()}", lambda v: f"{_fill(local, chars(v))}@{host}") if size > 1 else None
 
@@ -233,7 +235,7 @@ def _assigned(m: re.Match) -> Value | None:
 _MON = r"(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 #: In order of precedence; a find keeps later kinds off its characters.
 KINDS = (
-    ("email", _email, re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")),
+    ("email", _email, re.compile(r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<v>[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})")),
     ("iban", _iban, re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")),
     ("secret", _secret, re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")),
     ("secret", _assigned, re.compile(r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?)(?P<v>[^\s\"']{6,128})")),
