@@ -31,7 +31,7 @@ def _own_dir() -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; where that is unset and Spark is local (tests), a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found and not spark.sparkContext.master.startswith("local["):
+    if not found and spark.sparkContext.master.partition("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return found or _own_dir()
 
@@ -58,11 +58,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes what was written so far to paths that were not given: intermediate tables, line runs, slot maps.
-    DataFrames returned by operators read them: save those first."""
-    while _made:
-        drop_path(spark, _made.pop())
+def made() -> int:
+    """How many paths release() would delete now."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, last: int = 0) -> None:
+    """Deletes what was written so far to paths that were not given: intermediate tables, line runs, slot maps;
+    only those after the first `since` and before the last `last`. DataFrames returned by operators read them: save those first."""
+    for path in _made[since : len(_made) - last]:
+        _made.remove(path)
+        drop_path(spark, path)
 
 
 def shipped(df: DataFrame) -> DataFrame:
@@ -86,6 +92,35 @@ def maybe_broadcast(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(small) if small.count() <= rows else small
 
 
+#: Keys of a hot join that are broadcast, at most.
+HOT = 100_000
+
+
+def hot_join(rows: DataFrame, one: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """rows with the columns of `one` (null where the key is not in it), which has each key once, and in `size` how
+    many of the `total` rows have it. Fewer than HOT keys have more than total / HOT rows: those are
+    broadcast and the rest is joined by shuffling, where none fills a task."""
+    what = F.struct(*[c for c in one.columns if c != key])
+    big = one.filter(F.col(size) > total / HOT).select(F.col(key).alias("hot_key"), what.alias("hot"))
+    rest = one.filter(F.col(size) <= total / HOT).select(F.col(key).alias("cold_key"), what.alias("cold"))
+    out = rows.join(F.broadcast(big), rows[key] == F.col("hot_key"), "left")
+    # Keys already met, and null ones, are dealt out by the whole row instead.
+    out = out.withColumn("by", F.when(F.col("hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(F.xxhash64(*rows.columns)))
+    out = out.join(rest, F.col("by") == F.col("cold_key"), "left")
+    got = F.when(F.col(key).isNotNull(), F.coalesce("hot", "cold"))
+    return out.select(*rows.columns, *[got[c].alias(c) for c in one.columns if c != key])
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores before them as it takes for df to have no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
 def text_hash(text: Column | str) -> Column:
     """64 bits that tell the rows of one doc_id apart; null texts are as empty ones."""
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import BLANKS, components, maybe_broadcast, shipped, text_hash, written
+from .common import components, free_names, hot_join, maybe_broadcast, shipped, text_hash, written
 
 #: Registers that agree by chance: one byte of each is kept.
 CHANCE = 1 / 256
@@ -241,14 +241,14 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
     class_id is the least doc_id of the documents connected by multiset Jaccard similarities of
     `threshold` or more over folded (A-Z) shingles of `words` words; texts of fewer words are one
     shingle. Null, empty and blank texts are classes of their own, one for each row (class_id is the
-    row's doc_id). Repeated rows and equal texts share a class; null ids are taken last. Of a class,
-    is_rep holds on the row of the least (doc_id, thash), on all its repetitions if it is repeated.
-    Other columns are not read. An empty table gives an empty result.
+    row's doc_id). Texts of any length are read whole. Repeated rows and equal texts share a class; null ids are
+    taken last. Of a class, is_rep holds on the row of the least (doc_id, thash), on all its repetitions if it is
+    repeated. doc_id must be an integer. Other columns are not read. An empty table gives an empty result.
     """
     rows_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("thash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"), F.col("text"))
     signed = written(shipped(rows_).mapInArrow(signer(m, rows, words), SIGNED), "signed")
-    nodes = signed.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "thash")).alias("at"), F.max("bytes").alias("bytes"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = written(nodes.select("key", "at.doc_id", "at.thash", "bytes", "sig", "bands"), "nodes")
+    nodes = signed.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "thash")).alias("at"), F.max("bytes").alias("bytes"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+    nodes = written(nodes.select("key", "at.doc_id", "at.thash", "bytes", "sig", "bands", "copies"), "nodes")
     flat = nodes.select("key", F.explode("bands").alias("band"))
     shared = flat.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     member = written(flat.join(shared, "band"), "members")
@@ -283,27 +283,40 @@ def near_duplicates(docs: DataFrame, *, threshold: float = 0.8, words: int = 5,
     family = family.drop("bytes").join(count.select("root", F.greatest(parts, F.lit(1)).alias("parts")), "root").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")))
     family = written(family.select(F.col("node").alias("key"), "root", "parts", "own", "doc_id", "thash"), "families")
     texts = rows_.join(maybe_broadcast(family), rows_.doc_id.eqNullSafe(family.doc_id) & (rows_.thash == family.thash)).select("key", "root", "parts", "own", "text")
+    if signed.select(F.col("doc_id").alias("d"), F.col("thash").alias("t")).join(maybe_broadcast(family), F.col("d").eqNullSafe(family.doc_id) & (F.col("t") == family.thash)).count() > family.count():
+        texts = texts.dropDuplicates(["key"])  # the rows that tell a text are repeated
     texts = texts.select("key", "root", F.explode(pairs_of("parts", "own")).alias("p"), "text").select("root", "p.i", "p.j", "key", "text")
     linked = written(texts.groupBy("root", "i", "j").applyInArrow(linker(words, threshold), "key long, root long"), "linked").filter("key <> root")
     many = family.filter("parts > 1").limit(1).count()
     classes = components(linked, "key", "root").select(F.col("node").alias("key"), "root") if many else linked.distinct()
-    rows_in = signed.select("doc_id", "thash", "key").join(classes, "key", "left").withColumn("cls", F.coalesce("root", "key"))
-    whole = rows_in.filter("cls is not null").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")).alias("rep"), F.count(F.lit(1)).alias("class_size"))
-    out = rows_in.join(whole, "cls", "left")
+    # Classes of different texts first, then rows: a class of many texts or copies is one hot key of either join.
+    members = nodes.select("key", "doc_id", "thash", "copies").join(classes, "key", "left").withColumn("cls", F.coalesce("root", "key")).drop("root")
+    whole = members.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "thash")).alias("rep"), F.sum("copies").alias("class_size"), F.count(F.lit(1)).alias("texts"))
+    whole = written(whole, "classes")
+    class_of = hot_join(members.select("key", "copies", "cls"), whole, "cls", "texts", nodes.count()).select("key", "rep", "class_size", "copies")
+    out = hot_join(signed.select("doc_id", "thash", "key"), written(class_of, "class_of"), "key", "copies", signed.count())
     return out.select(
-        "doc_id", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
-        (F.col("cls").isNull() | (F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (rows_in.thash == F.col("rep.thash")))).alias("is_rep"), rows_in.thash.alias("thash"))
+        "doc_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("rep.doc_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"),
+        (F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("rep.doc_id")) & (F.col("thash") == F.col("rep.thash")))).alias("is_rep"), "thash")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs without near duplicates: of each class the row of its representative, once, with all columns of docs."""
-    found = written(near_duplicates(docs.select("doc_id", "text"), **options).select(F.col("doc_id").alias("__d"), F.col("thash").alias("__h"), "is_rep", "class_size"), "classes")
-    lost = written(found.filter("not is_rep").select("__d", "__h").distinct(), "lost")
-    kept = docs.withColumn("__t", text_hash("text"))
-    kept = kept.join(maybe_broadcast(lost), F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__t") == F.col("__h")), "left_anti")
-    again = found.filter("is_rep and class_size > 1").groupBy("__d", "__h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    """docs without near duplicates: of each class of near_duplicates() the row of its representative, with all columns of docs.
+
+    Null, empty and blank texts all stay, as classes of their own. If the representative's row is repeated, one of
+    the repetitions stays. Texts of any length are read whole. Other columns may have any names and stay as
+    they are. An empty table gives an empty result.
+    """
+    d, h, t = free_names(docs, "d", "h", "t")
+    found = near_duplicates(docs.select("doc_id", "text"), **options).select(F.col("doc_id").alias(d), F.col("thash").alias(h), "is_rep", "class_size")
+    found = written(found, "classes")
+    same = lambda of: F.col("doc_id").cast("long").eqNullSafe(of[d]) & (F.col(t) == of[h])
+    lost = written(found.filter("not is_rep").select(d, h).distinct(), "lost")
+    kept = docs.withColumn(t, text_hash("text"))
+    kept = kept.join(maybe_broadcast(lost), same(lost), "left_anti")
+    again = found.filter("is_rep and class_size > 1").groupBy(d, h).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(d, h)
+    again = written(again, "again")
     if again.limit(1).count():  # whole rows are repeated: one stays
-        blank = F.trim(F.coalesce("text", F.lit("")), F.lit(BLANKS)) == ""
-        order = Window.partitionBy("doc_id", "__t").orderBy(F.lit(1))
-        kept = kept.withColumn("__n", F.row_number().over(order)).filter((F.col("__n") == 1) | blank)
+        some = maybe_broadcast(again)
+        kept = kept.join(some, same(again), "left_anti").unionByName(kept.join(some, same(again), "left_semi").dropDuplicates(["doc_id", t]))
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
