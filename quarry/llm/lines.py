@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, drop_path, new_path, text_hash, written
+from .common import BLANKS, LOWER, UPPER, drop_path, free_names, new_path, text_hash, written
 
 RUN = "h1 long, h2 long, n long"
 
@@ -82,7 +82,10 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
 
 def add_documents(runs: LineRuns, keyed: DataFrame, batches: int = 1) -> None:
     """Counts the lines of keyed_lines() into the runs; a document counts once for a key. Rows are dealt to batches by text."""
-    one = keyed.select(F.pmod("thash", F.lit(batches)).alias("batch"), F.explode(F.array_distinct("keys")).alias("k")).filter("k is not null")
+    # array_distinct compares structs pairwise; sorted keys need only their neighbours.
+    sorted_ = keyed.select(F.pmod("thash", F.lit(batches)).alias("batch"), F.sort_array("keys").alias("keys"))
+    first = F.filter("keys", lambda k, i: k.isNotNull() & ((i == 0) | ~k.eqNullSafe(F.get(F.col("keys"), i - 1))))
+    one = sorted_.select("batch", F.explode(first).alias("k"))
     counted = one.groupBy("batch", "k.h1", "k.h2").agg(F.count(F.lit(1)).alias("n"))
     if batches == 1:
         return runs.add(counted.drop("batch"))
@@ -95,10 +98,11 @@ def drop_lines(docs: DataFrame, *, limit: int = 10, batches: int = 4, runs: Line
     """docs with n_lines, n_dropped and kept_text added: lines whose key `limit` documents or more have are dropped everywhere.
 
     The key is the line without blanks at its ends, A-Z lower-cased; empty keys are kept. A null or
-    empty text is one empty line and gives ''. Each row is a document of its own, also repeated rows
-    and null ids. With `runs`, documents counted there earlier count too. Other columns stay as they
-    are, but for those named like the three new ones; names beginning with __ are taken. An empty
-    table gives an empty result.
+    empty text is one empty line and gives ''. Texts of any length are read whole, at a cost in proportion
+    to their lines (times their logarithm). Each row is a document of its own, also repeated rows
+    and null ids. With `runs`, documents counted there earlier count too. Other columns may have any names and
+    stay as they are, but for those named like the three new ones, which are replaced. An empty table gives
+    an empty result.
     """
     runs = runs or LineRuns(docs.sparkSession, limit=limit)
     keyed = keyed_lines(docs)
@@ -106,12 +110,12 @@ def drop_lines(docs: DataFrame, *, limit: int = 10, batches: int = 4, runs: Line
     often = written(runs.found(), "often").withColumn("hit", F.lit(True))
     at = keyed.select("doc_id", "thash", F.posexplode("keys").alias("pos", "k")).select("doc_id", "thash", "pos", "k.h1", "k.h2")
     hits = at.filter("h1 is not null").join(often, ["h1", "h2"]).groupBy("doc_id", "thash").agg(F.collect_set("pos").alias("gone"))
-    hits = hits.select(F.col("doc_id").alias("__d"), F.col("thash").alias("__h"), F.col("gone").alias("__gone"))
-    marked = docs.withColumn("__t", text_hash("text"))
-    marked = marked.join(hits, marked["doc_id"].eqNullSafe(hits["__d"]) & (marked["__t"] == hits["__h"]), "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone")
-    marked = marked.withColumn("__lines", lines)
-    kept = F.when(F.col("__gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__lines"), i)), "\n"))
+    d, h, gone, t, lines = free_names(docs, "d", "h", "gone", "t", "cut")
+    hits = hits.select(F.col("doc_id").alias(d), F.col("thash").alias(h), F.col("gone").alias(gone))
+    marked = docs.withColumn(t, text_hash("text"))
+    marked = marked.join(hits, marked["doc_id"].eqNullSafe(hits[d]) & (marked[t] == hits[h]), "left")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    marked = marked.withColumn(lines, F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    kept = F.when(F.col(gone).isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(lines), i)), "\n"))
     own = [F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped", "kept_text")]
-    return marked.select(*own, F.size("__lines").cast("long").alias("n_lines"), F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long").alias("n_dropped"), kept.alias("kept_text"))
+    return marked.select(*own, F.size(lines).cast("long").alias("n_lines"), F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long").alias("n_dropped"), kept.alias("kept_text"))
