@@ -153,8 +153,10 @@ def predict(docs: DataFrame, filters: Filters | None, *, sizes: tuple[int, ...]
     """docs (any columns, text among them) with lang_pred and score, the share of n-grams that speak for it, added.
 
     `und` and 0 where the text is null or has no letter, and everywhere without filters. Ties go to the
-    language with more rows to learn from. Every text is read whole.
+    language with more rows to learn from. Every text is read whole, long ones in parts. Columns of the two
+    names are replaced, others stay; repeated rows and null ids pass through; an empty table gives an empty result.
     """
+    docs = docs.drop("lang_pred", "score")
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     at, shared = docs.columns.index("text"), docs.sparkSession.sparkContext.broadcast(filters)
 

@@ -40,7 +40,7 @@ from .common import in_training, shipped, text_hash, written
 ENDINGS, CONTEXT, GROUPS = 4096, 64, 8
 #: The share of the text's bytes that one round of training may send.
 SENT = 0.2
-FAN_IN, CHUNK = 256, 1024
+FAN_IN, CHUNK = 256, 256
 #: Tokens of a gradient step, and of a step of scoring.
 BATCH, SCORED = 8192, 2048
 #: Weights stay within this.
