@@ -7,8 +7,9 @@ A window is `window` canonical tokens (the whole item if that is shorter). Windo
 are hash-joined with the documents through an anchor, the window's longest literal: a document has a
 window only if it has its anchor, so tokens are first joined with the anchors and only around those
 hits are windows formed and their hashes compared. A window with too few literals in a form is exact there: its
-tokens are all taken as literals, numbers too, and must stand in the document as they are. Then the values behind the placeholders must be
-consistent along one alignment: equal values in the item are equal in the document.
+tokens are all taken as literals, numbers too, and must stand in the document as they are. Then the values
+behind the placeholders must be consistent along one alignment: where a value of the item is more than one value
+in the document, the windows that hold it do not count, unless all values of a window are those of the item.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, text_hash, written
+from .common import BROADCAST_ROWS, free_names, text_hash, written
 
 TOKEN = r"\p{L}[\p{L}\p{M}']*[.!?]?|\d+(?:[.,:/-]\d+)*[.!?]?"
 # Words that are units when a number stands before them.
@@ -80,10 +81,13 @@ def windows(benchmark: DataFrame, window: int, literals: int) -> DataFrame:
     return all_.select("item_id", "form", "exact", "idx", "size", "n", first.word.alias("anchor"), first.off.alias("off"), second.word.alias("second"), second.off.alias("off2"), F.xxhash64("canon").alias("hash"), "canon", "vals")
 
 
-def _hits(docs: DataFrame, win: DataFrame) -> DataFrame:
+def _tokens(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", text_hash("text").alias("thash"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("tokens"))
+
+
+def _hits(tokens: DataFrame, win: DataFrame) -> DataFrame:
     """The windows of a block, small enough to broadcast, that documents have."""
     win = win.drop("canon")
-    tokens = docs.select("doc_id", text_hash("text").alias("thash"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(TOKEN), F.lit(0)).alias("tokens"))
     # The outer form spares a filter that would cut every text into tokens a second time.
     each = tokens.select("*", F.posexplode_outer("tokens").alias("pos", "tok"))
     start = F.col("pos") - F.col("off")
@@ -104,18 +108,26 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literals:
     """(doc_id, thash, item_id, form, n_windows, covered, item_tokens) of documents that carry an item.
 
     Windows count if their canonical tokens are equal and the values behind placeholders are consistent
-    along their alignment. An item is carried if `cover` of its tokens, or all it has, are in such windows.
+    along their alignment, or all those of the item. An item is carried if `cover` of its tokens, or all it
+    has, are in such windows.
     Windows of fewer than `literals` literals, and so items of fewer tokens with placeholders, must be found
     as they are, case aside; an item of a token or two is thus in many documents. Null or empty
-    texts and items match nothing. Repeated rows and null ids: one result for (doc_id, text). Other
-    columns are not read; empty tables give an empty result.
+    texts and items match nothing. Texts are read whole, at a cost in proportion to their length. Repeated rows
+    and null ids: one result for (doc_id, text). Of forms that cover as much, the one with more windows is told,
+    then the later by name. Other columns are not read; empty tables give an empty result.
     """
     win = written(windows(benchmark.select("item_id", "text"), window, literals), "windows")
     blocks = max(1, -(-win.count() // WINDOW_ROWS))
     part = F.pmod(F.xxhash64("item_id", "form", "idx"), F.lit(blocks))
-    hit = reduce(DataFrame.unionByName, [_hits(docs, win.filter(part == b)) for b in range(blocks)])
-    one = hit.groupBy("doc_id", "thash", "item_id", "form", "n", "shift").agg(F.collect_set(F.struct("idx", "size")).alias("at"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    one = one.filter(F.size(F.array_distinct(F.transform("pairs", lambda p: p.a))) == F.size("pairs"))
+    tokens = _tokens(docs) if blocks == 1 else written(_tokens(docs), "tokens")
+    hit = reduce(DataFrame.unionByName, [_hits(tokens, win.filter(part == b)) for b in range(blocks)])
+    one = hit.groupBy("doc_id", "thash", "item_id", "form", "n", "shift").agg(F.collect_set(F.struct("idx", "size", "pairs")).alias("all"))
+    one = one.withColumn("sorted", F.sort_array(F.flatten(F.transform("all", lambda w: w.pairs))))
+    before = lambda i: F.get(F.col("sorted"), i - 1)
+    clash = F.filter("sorted", lambda p, i: (i > 0) & (before(i).a == p.a) & (before(i).b != p.b))
+    one = one.withColumn("clash", F.transform(clash, lambda p: p.a))
+    fine = lambda w: F.forall(w.pairs, lambda p: p.a == p.b) | ~F.exists(w.pairs, lambda p: F.array_contains(F.col("clash"), p.a))
+    one = one.withColumn("at", F.filter("all", fine)).filter(F.size("at") > 0)
     spans = F.flatten(F.transform(F.flatten(F.collect_list("at")), lambda x: F.sequence(x.idx, x.idx + x.size - 1)))
     found = one.groupBy("doc_id", "thash", "item_id", "form", "n").agg(F.sum(F.size("at")).alias("n_windows"), F.size(F.array_distinct(spans)).cast("long").alias("covered"))
     best = found.groupBy("doc_id", "thash", "item_id", F.col("n").cast("long").alias("item_tokens")).agg(F.max(F.struct("covered", "n_windows", "form")).alias("m"))
@@ -124,7 +136,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = 8, literals:
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that carry no item of the benchmark, with all their columns."""
-    bad = written(matches(docs, benchmark, **options).select(F.col("doc_id").alias("__d"), F.col("thash").alias("__t")).distinct(), "leaks")
+    """The rows of docs that carry no item of the benchmark by matches(), with all their columns.
+
+    Null, empty and blank texts carry nothing and stay; so do all repetitions of a row that stays. Texts of any
+    length are read whole. doc_id may be of any type that compares. Other columns may have any names. An empty
+    table or benchmark drops nothing.
+    """
+    d, t = free_names(docs, "d", "t")
+    bad = written(matches(docs.select("doc_id", "text"), benchmark, **options).select(F.col("doc_id").alias(d), F.col("thash").alias(t)).distinct(), "leaks")
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__d")) & (text_hash("text") == F.col("__t")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad[d]) & (text_hash("text") == bad[t]), "left_anti")

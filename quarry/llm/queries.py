@@ -94,11 +94,7 @@ k AS (SELECT *, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS ws FROM l),
 n AS (SELECT doc_id, host, pos, line, len(ws) AS w,
              translate(array_to_string(ws, ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
       FROM k WHERE len(ws) > 0),
-c AS (SELECT *, coalesce(lag('a' || key) OVER d, '') || chr(10) || coalesce(lead('a' || key) OVER d, '') AS around,
-             row_number() OVER (PARTITION BY doc_id, key ORDER BY pos) AS seen
-      FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
-o AS (SELECT host, key FROM c WHERE seen = 1 GROUP BY host, key
-      HAVING count(*) > 10 AND 100 * count(DISTINCT around) >= 50 * count(*)),
+o AS (SELECT host, key FROM n JOIN documents USING (doc_id) GROUP BY host, key HAVING count(DISTINCT text) > 10),
 r AS (SELECT doc_id, sum(w) AS removed FROM n JOIN o USING (host, key) GROUP BY doc_id),
 dl AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM n GROUP BY doc_id),
 ww AS (SELECT doc_id, unnest(ws) AS word, unnest(generate_series(1, len(ws))) AS i
@@ -149,17 +145,21 @@ k AS (SELECT b.*, f.form, lower(w) AS val,
       FROM b, (VALUES ('names'), ('plain')) f(form)),
 g AS (SELECT k.*, z.size,
         list(canon) OVER q AS cs, list(val) OVER q AS vs, count(*) OVER q AS got
-      FROM k, (VALUES (5), (6), (7), (8)) z(size) WHERE side = 'd' OR z.size = least(8, n)
+      FROM k, (SELECT DISTINCT least(8, n) AS size FROM t WHERE side = 'b') z WHERE side = 'd' OR z.size = least(8, n)
       WINDOW q AS (PARTITION BY side, id, form, size ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
 w AS (SELECT side, id, form, size, n, pos, list_slice(cs, 1, size) AS cs, list_slice(vs, 1, size) AS vs FROM g WHERE got >= size),
-i AS (SELECT * FROM w WHERE side = 'b' AND len(list_filter(cs, lambda c: c[1] <> '<')) >= least(5, size)),
+i AS (SELECT *, len(list_filter(cs, lambda c: c[1] <> '<')) < least(5, size) AS exact FROM w WHERE side = 'b'),
 h AS (SELECT w.id AS doc_id, i.id AS item_id, i.form, i.n, i.size, i.pos, w.pos - i.pos AS shift, i.cs, i.vs AS a, w.vs AS b
-      FROM i JOIN w ON w.side = 'd' AND w.form = i.form AND w.size = i.size AND w.cs = i.cs),
+      FROM i JOIN w ON w.side = 'd' AND w.form = i.form AND w.size = i.size AND w.cs = i.cs WHERE NOT exact
+      UNION ALL
+      SELECT w.id, i.id, i.form, i.n, i.size, i.pos, w.pos - i.pos, i.vs, i.vs, w.vs
+      FROM i JOIN w ON w.side = 'd' AND w.form = i.form AND w.size = i.size AND w.vs = i.vs WHERE exact),
 e AS (SELECT doc_id, item_id, form, n, shift, pos, unnest(generate_series(pos, pos + size - 1)) AS place, unnest(cs) AS c, unnest(a) AS a, unnest(b) AS b FROM h),
-ok AS (SELECT doc_id, item_id, form, shift FROM e GROUP BY ALL
-       HAVING count(DISTINCT a) FILTER (WHERE c[1] = '<') = count(DISTINCT (a, b)) FILTER (WHERE c[1] = '<')),
+x AS (SELECT doc_id, item_id, form, shift, a FROM e WHERE c[1] = '<' GROUP BY ALL HAVING count(DISTINCT b) > 1),
+ok AS (SELECT e.doc_id, e.item_id, e.form, e.shift, e.pos FROM e LEFT JOIN x ON x.doc_id = e.doc_id AND x.item_id = e.item_id AND x.form = e.form AND x.shift = e.shift AND x.a = e.a
+       GROUP BY ALL HAVING bool_and(c[1] <> '<' OR e.a = e.b) OR NOT bool_or(c[1] = '<' AND x.a IS NOT NULL)),
 s AS (SELECT doc_id, item_id, form, n, count(DISTINCT (shift, pos)) AS n_windows, count(DISTINCT place) AS covered
-      FROM e JOIN ok USING (doc_id, item_id, form, shift) GROUP BY ALL)
+      FROM e JOIN ok USING (doc_id, item_id, form, shift, pos) GROUP BY ALL)
 SELECT doc_id, item_id, arg_max(form, (covered, n_windows, form)) AS form, CAST(arg_max(n_windows, (covered, n_windows, form)) AS BIGINT) AS n_windows,
        CAST(max(covered) AS BIGINT) AS covered, CAST(n AS BIGINT) AS item_tokens
 FROM s GROUP BY doc_id, item_id, n HAVING max(covered) >= least(13, n)

@@ -8,7 +8,9 @@ from collections import Counter, defaultdict
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 BLANK = " \t\n\x0b\x0c\r"
 SF = "/root/testdata/sf0.001"
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, key string, hash long, score string, n long, thash string, lines string, h int"
+CLASHING = {"key": "k", "hash": 1, "score": "s", "n": 2, "thash": "t", "lines": "l", "h": 3, "d": 4, "T": "x", "_t": "y", "__t": "z", "__d": 5, "o": "o", "gone": "g", "cut": "c",
+            "n_lines": "p", "kept_text": "q", "hot": "r", "key 2": "u", "is_rep": 6, "root": 7}
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` {'string' if isinstance(v, str) else 'long'}" for c, v in CLASHING.items())
 
 LONG = "\n".join(f"Line {i} of a very long text, with words of its own {i * 7919 % 10007}." for i in range(9000))
 EDGES = [
@@ -21,7 +23,7 @@ EDGES = [
 
 def frame(spark, rows):
     """Documents of (doc_id, text) rows with columns that clash with names used inside."""
-    full = [(i, t, None if t is None else "en", None if i is None else f"src{i % 2}", None if t is None else len(t), "k", 1, "s", 2, "t", "l", 3) for i, t in rows]
+    full = [(i, t, None if t is None else "en", None if i is None else f"src{i % 2}", None if t is None else len(t), *CLASHING.values()) for i, t in rows]
     return spark.createDataFrame(full, COLUMNS)
 
 
@@ -75,30 +77,25 @@ def without_common_lines(texts, limit=10):
 
 
 def quality(docs):
-    """(counts, base_failed, kept) for (text, host) pairs."""
-    out, seen = [], defaultdict(list)
-    per = []
+    """(counts, base_failed, kept, text without lines over the limit) for (text, host) pairs."""
+    out, seen = [], defaultdict(set)
     for text, host in docs:
         t, w = text or "", words(text)
         grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
         n = Counter(grams)
         hit = {j for i, g in enumerate(grams) if n[g] > 1 for j in range(i, i + 5)}
         lines = [x for x in t.split("\n") if words(x)]
-        keys = [" ".join(words(x)).translate(FOLD) for x in lines]
-        around, sizes = {}, Counter()
-        for i, k in enumerate(keys):
-            around.setdefault(k, (keys[i - 1] if i else None, keys[i + 1] if i + 1 < len(keys) else None))
-            sizes[k] += len(words(lines[i]))
-        for k, a in around.items():
-            seen[host or "", k].append(a)
-        per.append(sizes)
+        for x in lines:
+            seen[host or "", " ".join(words(x)).translate(FOLD)].add(t)
         out.append((len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(hit)))
-    over = {k for k, v in seen.items() if len(v) > 10 and 100 * len(set(v)) >= 50 * len(v)}
+    over = {k for k, v in seen.items() if len(v) > 10}
     res = []
-    for (_, host), c, sizes in zip(docs, out, per, strict=True):
+    for (text, host), c in zip(docs, out, strict=True):
         failed = c[0] < 10 or 100 * c[4] > 20 * c[0]
-        gone = sum(v for k, v in sizes.items() if (host or "", k) in over)
-        res.append((c, failed, not failed and 100 * (c[0] - gone) >= 30 * c[0]))
+        lines = (text or "").split("\n")
+        left = [x for x in lines if (host or "", " ".join(words(x)).translate(FOLD)) not in over]
+        kept = not failed and 100 * sum(len(words(x)) for x in left) >= 30 * c[0]
+        res.append((c, failed, kept, "\n".join(left)))
     return res
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from quarry.llm import decontam, langid, license, lines, lm, near, packing, pii, quality, sharding
 
-from .helpers import EDGES, frame, rows
+from .helpers import CLASHING, EDGES, frame, rows
 
 BENCH = [(1, "The cat sat on the mat and looked at the dog for a long while"), (2, None), (3, ""), (4, "too short"), (1, "The cat sat on the mat and looked at the dog for a long while")]
 
@@ -79,6 +79,24 @@ def test_stages(spark, k):
         out.collect()
 
 
+@pytest.mark.parametrize("k", range(len(corpus_pipeline.STAGES) - 1))
+def test_other_columns_stay(spark, k):
+    """Columns of whatever name hold what they held, wherever the row stays."""
+    got = rows(corpus_pipeline.STAGES[k][1](spark, frame(spark, EDGES), "/root/testdata/sf0.001"))
+    assert got and all({c: r[c] for c in CLASHING} == CLASHING for r in got)
+    assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+
+
+def test_hot_join(spark, monkeypatch):
+    from quarry.llm import common
+
+    monkeypatch.setattr(common, "HOT", 5)
+    d = spark.range(1000).selectExpr("CASE WHEN id < 400 THEN 1 WHEN id < 700 THEN id % 50 WHEN id < 900 THEN id END AS k", "id")
+    one = d.filter("k is not null and k < 800").groupBy("k").count().selectExpr("k", "count AS n", "k * 2 AS twice")
+    got = rows(common.hot_join(d, one, "k", "n", 1000))
+    assert len(got) == 1000 and all(r["twice"] == (None if r["k"] is None or r["k"] >= 800 else 2 * r["k"]) for r in got)
+
+
 def test_release_deletes_what_was_written(spark):
     from quarry.llm import common
 

@@ -563,11 +563,14 @@ def test_quality(spark, docs):
     d = spark.createDataFrame([(i, t, h) for i, (t, h) in enumerate(pairs)], "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in H.rows(quality.quality(d))}
     want = H.quality(pairs)
-    for i, (counts, failed, kept) in enumerate(want):
+    for i, (counts, failed, kept, _) in enumerate(want):
         r = got[i]
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == counts
         assert (r["base_failed"], r["kept"]) == (failed, kept)
-    assert any(not f and not k for _, f, k in want)
+    assert any(not f and not k for _, f, k, _ in want)
+    good = sorted((r["doc_id"], r["text"]) for r in H.rows(quality.keep_good(d)))
+    assert good == [(i, t) for i, (_, _, kept, t) in enumerate(want) if kept]
+    assert any(t != pairs[i][0] for i, t in good)
 
 
 def test_lines_of_blocks_and_copied_documents_count(spark):
@@ -608,11 +611,17 @@ def test_templates_and_slots(spark):
         "Bert has 1.500 apples and gives 33 miles of them to her brother Karl",
     ]
     got = {(r["doc_id"], r["item_id"]): r for r in H.rows(decontam.matches(H.frame(spark, list(enumerate(texts))), items))}
-    assert set(got) == {(0, 1), (2, 1), (4, 2), (6, 1)} or set(got) == {(0, 1), (1, 1), (2, 1), (4, 2), (6, 1)}
+    # The window of the first name has four literals and so is exact; without it the second name clashes with nothing.
+    assert {k: r["covered"] for k, r in got.items()} == {(0, 1): 22, (1, 1): 22, (2, 1): 23, (4, 2): 6, (6, 1): 13}
     clash = spark.createDataFrame([(1, "the 3 red hens met 3 blue hens near the old barn by the lake at noon")], "item_id long, text string")
     pair = [(0, "the 8 red hens met 8 blue hens near the old barn by the lake at noon"), (1, "the 8 red hens met 9 blue hens near the old barn by the lake at noon")]
     found = {r["doc_id"]: r["covered"] for r in H.rows(decontam.matches(H.frame(spark, pair), clash, cover=17))}
     assert found == {0: 17}, "3 cannot be both 8 and 9"
+    long = "At the market of the old town 12 sellers sell red and green apples every day of the week while 12 others sell pears and plums from the hills beyond the wide river"
+    items = spark.createDataFrame([(1, long)], "item_id long, text string")
+    texts = [long, long.replace("12 others", "13 others"), long.replace("12", "15")]
+    found = {r["doc_id"]: r["covered"] for r in H.rows(decontam.matches(H.frame(spark, list(enumerate(texts))), items))}
+    assert found == {0: 33, 1: 32, 2: 33}, "a copy with one of its two equal numbers changed is a copy"
 
 
 def test_items_of_numbers_are_found_as_they_are(spark):
@@ -628,9 +637,9 @@ def test_items_of_numbers_are_found_as_they_are(spark):
 
 def test_pipeline(spark, docs, encoder):
     bench = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    left = [r for r, (_, _, kept) in zip(docs, H.quality([(r["text"], r["source"]) for r in docs]), strict=True) if kept]
-    texts = [t for _, _, t in H.without_common_lines([r["text"] for r in left])]
-    pairs = [(r["doc_id"], t) for r, t in zip(left, texts, strict=True)]
+    left = [(r, t) for r, (_, _, kept, t) in zip(docs, H.quality([(r["text"], r["source"]) for r in docs]), strict=True) if kept]
+    texts = [t for _, _, t in H.without_common_lines([t for _, t in left])]
+    pairs = [(r["doc_id"], t) for (r, _), t in zip(left, texts, strict=True)]
     classes = H.near_classes(pairs)
     pairs = [p for i, (p, c) in enumerate(zip(pairs, classes, strict=True)) if i == c]
     bad = H.leaking([t for _, t in pairs], bench)
