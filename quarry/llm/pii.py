@@ -13,11 +13,12 @@ import datetime
 import functools
 import hashlib
 import re
+import secrets
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,7 +26,8 @@ from . import kernels as K
 from .common import shipped
 
 ROUNDS = 8
-KEY = b"set a key of your own"
+#: The setting of Spark with the key, for setting_key().
+SETTING = "spark.quarry.pii.key"
 
 
 def feistel(value: int, size: int, key: bytes, tweak: str, back: bool = False) -> int:
@@ -267,7 +269,7 @@ def finds(text: str, kinds: frozenset[str] | None = None) -> list[tuple[int, int
     return sorted(out, key=lambda x: x[0])
 
 
-def pseudonymise(text: str, key: bytes = KEY, kinds: frozenset[str] | None = None, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
+def pseudonymise(text: str, key: bytes, kinds: frozenset[str] | None = None, back: bool = False) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with pseudonyms, and (start, end, kind) of what was replaced, in characters of the given text."""
     out, at, spans = [], 0, []
     for a, b, kind, v in finds(text, kinds):
@@ -282,7 +284,7 @@ def _permuted(number: int, size: int, key: bytes, tweak: str, back: bool) -> int
     return feistel(number, size, key, tweak, back)
 
 
-def recover(text: str, key: bytes = KEY, kinds: frozenset[str] | None = None) -> str:
+def recover(text: str, key: bytes, kinds: frozenset[str] | None = None) -> str:
     """The text as it was before pseudonymise() with that key."""
     return pseudonymise(text, key, kinds, back=True)[0]
 
@@ -292,10 +294,17 @@ _SIGN = np.zeros(256, bool)
 _SIGN[[*range(48, 59), 61, 64]] = True
 
 
-def mask(docs: DataFrame, *, key: bytes = KEY, kinds: frozenset[str] | None = None) -> DataFrame:
+def setting_key(spark: SparkSession) -> bytes:
+    """The key in spark.quarry.pii.key; where that is not set, a fresh random one that nobody knows, for this call alone."""
+    told = spark.conf.get(SETTING, None)
+    return told.encode() if told else secrets.token_bytes(32)
+
+
+def mask(docs: DataFrame, *, key: bytes, kinds: frozenset[str] | None = None) -> DataFrame:
     """docs with text pseudonymised and `spans` (array of start, end, kind) added; both null where text is null.
 
-    Texts without finds stay byte for byte as they are. Every text is read whole; those without a digit,
+    Without the key, which has no default, nothing can be undone. Texts without finds stay byte for byte as they
+    are. Every text is read whole, at a cost in proportion to its length; those without a digit,
     an @, an = and a key prefix hold no find and are passed over by a vectorised count. A column named spans is replaced.
     Repeated rows, null ids and other columns pass through. An empty table gives an empty result.
     """

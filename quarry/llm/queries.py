@@ -25,8 +25,8 @@ def op2_license_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents with personal data replaced by pseudonyms."""
-    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """All documents with personal data replaced by pseudonyms, under the key of the session's setting or a fresh one."""
+    return pii.report(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pii.setting_key(spark))
 
 
 def op4_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

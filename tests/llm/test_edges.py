@@ -17,7 +17,7 @@ def bench(spark, of):
 OPERATORS = {
     "identify": lambda s, d: langid.identify(d),
     "scan": lambda s, d: license.scan(d),
-    "report": lambda s, d: pii.report(d),
+    "report": lambda s, d: pii.report(d, key=b"k"),
     "shard": lambda s, d: sharding.shard(d, shards=4),
     "pack": lambda s, d: packing.pack(d),
     "scores": lambda s, d: lm.scores(d),
@@ -28,7 +28,7 @@ OPERATORS = {
     "keep_one": lambda s, d: near.keep_one(d),
     "keep_good": lambda s, d: quality.keep_good(d),
     "without_leaks": lambda s, d: decontam.without_leaks(d, bench(s, BENCH)),
-    "mask": lambda s, d: pii.mask(d),
+    "mask": lambda s, d: pii.mask(d, key=b"k"),
 }
 #: A row out for each row in.
 EACH = ("identify", "report", "shard", "scores", "near", "lines", "quality", "mask")
