@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -104,22 +105,24 @@ def quality(docs: DataFrame, *, host: str = "source", window: int = 5, least_wor
 def _drop(batches):
     """(..., text, gone): the texts without the lines whose hashes are in `gone`; gone is left out."""
     for batch in batches:
-        texts, gone = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-        out = texts.to_pylist()
-        for g in K.groups(texts):
-            of = gone[g.first : g.first + g.n]
-            bad = of.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            if not len(bad):
-                continue
-            owner = np.repeat(np.arange(g.n), [len(x) if x else 0 for x in of.to_pylist()])
-            ls, le, ld, _, h = _lines(g, *g.words())
-            hit = np.isin(K.keyed(h, ld), K.keyed(bad, owner))
-            all_ls, all_le, all_ld = g.lines()
-            lost = np.isin(all_ls, ls[hit])  # lines with a word start at places of their own
-            for d in np.unique(owner):
-                mine = np.flatnonzero((all_ld == d) & ~lost)
-                out[g.first + d] = b"\n".join(g.data[a:b].tobytes() for a, b in zip(all_ls[mine], all_le[mine], strict=True)).decode()
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out, pa.string())], batch.schema.names[:-1])
+        names = batch.schema.names[:-1]
+        for g in K.groups(batch.column(batch.num_columns - 2)):
+            part = batch.slice(g.first, g.n)
+            *others, texts, gone = part.columns
+            owner = np.repeat(np.arange(g.n), pc.fill_null(pc.list_value_length(gone), 0).to_numpy())
+            if len(owner):
+                bad = gone.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                ls, _, ld, _, h = _lines(g, *g.words())
+                hit = np.isin(K.keyed(h, ld), K.keyed(bad, owner))
+                starts, ends, doc = g.lines()
+                left = ~np.isin(starts, ls[hit])  # lines with a word start at places of their own
+                out = texts.to_pylist()
+                for d in np.unique(owner):
+                    mine = np.arange(*np.searchsorted(doc, [d, d + 1]))
+                    mine = mine[left[mine]]
+                    out[d] = b"\n".join(g.data[a:b].tobytes() for a, b in zip(starts[mine], ends[mine], strict=True)).decode()
+                texts = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays([*others, texts], names)
 
 
 def keep_good(docs: DataFrame, *, host: str = "source", window: int = 5, least_words: int = 10, most_repeated: int = 20, line_docs: int = 10, least_left: int = 30) -> DataFrame:
