@@ -1,13 +1,19 @@
 """Line dedup against levelled sorted runs of line hashes, in DataFrame operations only.
 
-A run is a folder of Parquet files with (h1, h2, n): 128 bits of a line key's hash and the number of
-documents that have it, sorted by hash within each file, files being dealt by hash. New batches make
-runs of level 0; when a level has `fanout` runs they are merged into one of the next level. A batch
-is anti-joined with the keys that the runs already hold `limit` times: those need no more counting.
+A run is a table of (h1, h2, n): 128 bits of a line key's hash and the number of documents that have it,
+dealt by hash to buckets of one sorted Parquet file each. New batches make runs of level 0; when a level
+has `fanout` runs they are merged into one of the next level. A batch is dealt and sorted alike and
+merged with each run as it lies there, so that no run is shuffled or sorted again; keys that the runs
+already hold `limit` times leave it: those need no more counting.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
+import uuid
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,22 +35,48 @@ def key_hashes(line: Column) -> Column:
     return F.element_at(pair, 1)
 
 
+@contextmanager
+def trusted_order(spark: SparkSession):
+    """Within it, Spark's plans take a bucket of one file to be in the order that its table states."""
+    name = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 class LineRuns:
-    """The levels of runs below one folder; `runs` lists (level, path)."""
+    """The levels of runs below one folder; `runs` lists (level, path).
 
-    def __init__(self, spark: SparkSession, path: str | None = None, *, limit: int = 10, fanout: int = 4):
+    Each run has `buckets` files, by default as many as the session has shuffle partitions, or as the runs
+    that the folder holds. Spark reads sorted buckets by tables only: the current database has one
+    for each run, without files of its own, until close().
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None, *, limit: int = 10, fanout: int = 4, buckets: int | None = None):
         self.spark, self.path, self.limit, self.fanout = spark, path or new_path(spark, "runs"), limit, fanout
-        self.runs, self.made = [], 0
+        self.runs, self.tables, self.made, held = [], {}, 0, None
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
         fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         for s in fs.listStatus(at) if fs.exists(at) else []:
-            level, _, number = s.getPath().getName()[1:].partition("-")
+            level, number, held = map(int, s.getPath().getName()[1:].split("-"))
             if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS")):
-                self.runs.append((int(level), s.getPath().toString()))
-                self.made = max(self.made, int(number) + 1)
+                to = s.getPath().toString()
+                self.runs.append((level, to))
+                self.tables[to] = self._name()
+                spark.sql(f"CREATE TABLE {self.tables[to]} (h1 BIGINT, h2 BIGINT, n BIGINT) USING parquet CLUSTERED BY (h1, h2) SORTED BY (h1, h2) INTO {held} BUCKETS LOCATION '{to}'")
+            self.made = max(self.made, number + 1)
+        self.buckets = buckets or held or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    @staticmethod
+    def _name() -> str:
+        return f"quarry_run_{uuid.uuid4().hex}"
 
     def read(self, level: int | None = None) -> DataFrame:
         """Rows of the runs, of one level or all; a key may have a row in each run."""
+        # By paths: Spark 4.1 groups a union of bucketed tables without a shuffle after it has given up their buckets.
         paths = [p for lv, p in self.runs if level is None or lv == level]
         return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
 
@@ -56,23 +88,41 @@ class LineRuns:
         """Keys that at least `limit` documents have."""
         return self.counts().filter(F.col("n") >= self.limit).select("h1", "h2")
 
-    def _write(self, level: int, df: DataFrame) -> None:
-        to = f"{self.path}/L{level}-{self.made}"
-        df.select("h1", "h2", "n").sortWithinPartitions("h1", "h2").write.parquet(to)
+    def fresh(self, batch: DataFrame) -> DataFrame:
+        """The rows of a batch of (h1, h2, n) whose keys the runs hold less than `limit` times, by merging it with each run."""
+        rows = batch.select("h1", "h2", "n").repartition(self.buckets, "h1", "h2")
+        held = []
+        for i, (_, p) in enumerate(self.runs):
+            held.append(f"n{i}")
+            rows = rows.join(self.spark.table(self.tables[p]).withColumnRenamed("n", held[-1]).hint("merge"), ["h1", "h2"], "left")
+        known = functools.reduce(operator.add, [F.coalesce(n, F.lit(0)) for n in held], F.lit(0))
+        return rows.filter(known < self.limit).select("h1", "h2", "n")
+
+    def _write(self, level: int, rows: DataFrame) -> None:
+        to, name = f"{self.path}/L{level}-{self.made}-{self.buckets}", self._name()
+        with trusted_order(self.spark):
+            rows.repartition(self.buckets, "h1", "h2").write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2").option("path", to).saveAsTable(name)
         self.made += 1
+        self.tables[to] = name
         self.runs.append((level, to))
 
     def add(self, batch: DataFrame) -> None:
         """Adds a batch of (h1, h2, n), each key once: those not found often enough yet become a run."""
-        self._write(0, batch.join(self.found(), ["h1", "h2"], "left_anti") if self.runs else batch)
+        self._write(0, self.fresh(batch))
         level = 0
         while len(old := [r for r in self.runs if r[0] == level]) >= self.fanout:
             self._write(level + 1, self.read(level).groupBy("h1", "h2").agg(F.sum("n").alias("n")))
             self.runs = [r for r in self.runs if r not in old]
             for _, p in old:
+                self.spark.sql(f"DROP TABLE {self.tables.pop(p)}")
                 drop_path(self.spark, p)
             level += 1
 
+    def close(self) -> None:
+        """Drops the tables; the files stay and can be opened again."""
+        for name in self.tables.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+
 
 def keyed_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, thash, keys): the key hashes of each text's lines in order, as a written table."""
@@ -104,10 +154,12 @@ def drop_lines(docs: DataFrame, *, limit: int = 10, batches: int = 4, runs: Line
     stay as they are, but for those named like the three new ones, which are replaced. An empty table gives
     an empty result.
     """
-    runs = runs or LineRuns(docs.sparkSession, limit=limit)
+    given, runs = runs, runs or LineRuns(docs.sparkSession, limit=limit)
     keyed = keyed_lines(docs)
     add_documents(runs, keyed, batches)
     often = written(runs.found(), "often").withColumn("hit", F.lit(True))
+    if given is None:
+        runs.close()
     at = keyed.select("doc_id", "thash", F.posexplode("keys").alias("pos", "k")).select("doc_id", "thash", "pos", "k.h1", "k.h2")
     hits = at.filter("h1 is not null").join(often, ["h1", "h2"]).groupBy("doc_id", "thash").agg(F.collect_set("pos").alias("gone"))
     d, h, gone, t, lines = free_names(docs, "d", "h", "gone", "t", "cut")

@@ -665,6 +665,27 @@ def test_runs_in_levels(spark):
     assert counts == {key("a"): 3, key("b"): 2, key("c"): 3, key("d"): 1}, "a is not counted past the limit"
     assert {(r["h1"], r["h2"]) for r in H.rows(opened.found())} == {key("a"), key("c")}
     assert [r["kept_text"] for r in H.rows(lines.drop_lines(H.frame(spark, [(9, "a\nd\nnew")]), runs=opened, batches=1))] == ["d\nnew"]
+    runs.close()
+    opened.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("quarry_run_")]
+
+
+def test_runs_are_merged_as_they_lie(spark):
+    """A batch is shuffled once and sorted once, and each run neither; merges give what plain counts do."""
+    keys = [(i * 7919 % 1000, i % 3) for i in range(3000)]
+    batch = lambda a, b: spark.createDataFrame([(h, k, 1) for h, k in dict.fromkeys(keys[a:b])], lines.RUN)
+    runs = lines.LineRuns(spark, limit=3, fanout=4, buckets=3)
+    for _ in range(3):
+        runs.add(batch(0, 900))
+    with lines.trusted_order(spark):
+        plan = runs.fresh(batch(600, 1500))._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("SortMergeJoin"), plan.count("Exchange"), plan.count("+- Sort ") + plan.count(":- Sort "), plan.count("Bucketed: true")) == (3, 1, 1, 3)
+    assert {(r.h1, r.h2) for r in runs.fresh(batch(600, 1500)).collect()} == set(keys[600:1500]) - set(keys[:900])
+    runs.add(batch(0, 1500))
+    assert [lv for lv, _ in runs.runs] == [1]
+    got = {(r.h1, r.h2): r.n for r in runs.counts().collect()}
+    assert got == {k: 3 if k in set(keys[:900]) else 1 for k in keys[:1500]}
+    runs.close()
 
 
 # -- 9
