@@ -111,6 +111,16 @@ def hot_join(rows: DataFrame, one: DataFrame, key: str, size: str, total: int) -
     return out.select(*rows.columns, *[got[c].alias(c) for c in one.columns if c != key])
 
 
+def among(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """The rows whose columns `on`, the last a long, are those of a row of `keys`. That has each key once and a column `hot`,
+    true on fewer than HOT keys: those are broadcast, and their rows dealt out by all their columns where the rest is joined by shuffling."""
+    hot = keys.filter("hot").select(*on, "hot")
+    cold = keys.filter("not hot").select(*[F.col(c).alias(f"cold_{c}") for c in on])
+    out = rows.join(F.broadcast(hot), on, "left").withColumn("by", F.when(F.col("hot"), F.xxhash64(*rows.columns)).otherwise(F.col(on[-1])))
+    same = [F.col(c) == F.col(f"cold_{c}") for c in on[:-1]] + [F.col("by") == F.col(f"cold_{on[-1]}")]
+    return out.join(cold, same, "left").filter(F.col("hot") | F.col(f"cold_{on[-1]}").isNotNull()).select(*rows.columns)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names with as many underscores before them as it takes for df to have no such column."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -17,7 +17,7 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, LOWER, UPPER, drop_path, free_names, new_path, text_hash, written
+from .common import BLANKS, HOT, LOWER, UPPER, among, drop_path, free_names, new_path, text_hash, written
 
 RUN = "h1 long, h2 long, n long"
 
@@ -130,18 +130,22 @@ def keyed_lines(docs: DataFrame) -> DataFrame:
     return written(docs.select("doc_id", text_hash("text").alias("thash"), F.transform(lines, key_hashes).alias("keys")), "lines")
 
 
-def add_documents(runs: LineRuns, keyed: DataFrame, batches: int = 1) -> None:
-    """Counts the lines of keyed_lines() into the runs; a document counts once for a key. Rows are dealt to batches by text."""
+def counted_lines(keyed: DataFrame, batches: int = 1) -> DataFrame:
+    """(batch, h1, h2, n, times): the documents of keyed_lines() that have a key, and their lines with it, as a written
+    table. A document counts once for a key. Rows are dealt to batches by text."""
     # array_distinct compares structs pairwise; sorted keys need only their neighbours.
     sorted_ = keyed.select(F.pmod("thash", F.lit(batches)).alias("batch"), F.sort_array("keys").alias("keys"))
-    first = F.filter("keys", lambda k, i: k.isNotNull() & ((i == 0) | ~k.eqNullSafe(F.get(F.col("keys"), i - 1))))
-    one = sorted_.select("batch", F.explode(first).alias("k"))
-    counted = one.groupBy("batch", "k.h1", "k.h2").agg(F.count(F.lit(1)).alias("n"))
-    if batches == 1:
-        return runs.add(counted.drop("batch"))
-    counted = written(counted, "counted")
+    first = F.transform("keys", lambda k, i: F.when(k.isNotNull(), F.struct(k.h1.alias("h1"), k.h2.alias("h2"), ((i == 0) | ~k.eqNullSafe(F.get(F.col("keys"), i - 1))).cast("long").alias("first"))))
+    one = sorted_.select("batch", F.explode(first).alias("k")).filter("k is not null")
+    return written(one.groupBy("batch", "k.h1", "k.h2").agg(F.sum("k.first").alias("n"), F.count(F.lit(1)).alias("times")), "counted")
+
+
+def add_documents(runs: LineRuns, keyed: DataFrame, batches: int = 1) -> DataFrame:
+    """Counts the lines of keyed_lines() into the runs, a batch after the other; returns counted_lines()."""
+    counted = counted_lines(keyed, batches)
     for b in range(batches):
-        runs.add(counted.filter(F.col("batch") == b).drop("batch"))
+        runs.add(counted.filter(F.col("batch") == b).select("h1", "h2", "n"))
+    return counted
 
 
 def drop_lines(docs: DataFrame, *, limit: int = 10, batches: int = 4, runs: LineRuns | None = None) -> DataFrame:
@@ -156,12 +160,15 @@ def drop_lines(docs: DataFrame, *, limit: int = 10, batches: int = 4, runs: Line
     """
     given, runs = runs, runs or LineRuns(docs.sparkSession, limit=limit)
     keyed = keyed_lines(docs)
-    add_documents(runs, keyed, batches)
-    often = written(runs.found(), "often").withColumn("hit", F.lit(True))
+    counted = add_documents(runs, keyed, batches)
+    # Fewer than HOT keys have so many lines of a batch; each other key has at most batches / HOT of all lines.
+    total = counted.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    hot = counted.filter(F.col("times") > total / HOT).select("h1", "h2", F.lit(True).alias("hot")).distinct()
+    often = written(runs.found().join(F.broadcast(hot), ["h1", "h2"], "left").select("h1", "h2", F.coalesce("hot", F.lit(False)).alias("hot")), "often")
     if given is None:
         runs.close()
     at = keyed.select("doc_id", "thash", F.posexplode("keys").alias("pos", "k")).select("doc_id", "thash", "pos", "k.h1", "k.h2")
-    hits = at.filter("h1 is not null").join(often, ["h1", "h2"]).groupBy("doc_id", "thash").agg(F.collect_set("pos").alias("gone"))
+    hits = among(at.filter("h1 is not null"), often, ["h1", "h2"]).groupBy("doc_id", "thash").agg(F.collect_set("pos").alias("gone"))
     d, h, gone, t, lines = free_names(docs, "d", "h", "gone", "t", "cut")
     hits = hits.select(F.col("doc_id").alias(d), F.col("thash").alias(h), F.col("gone").alias(gone))
     marked = docs.withColumn(t, text_hash("text"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels as K
-from .common import free_names, shipped, text_hash, written
+from .common import HOT, among, free_names, shipped, text_hash, written
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -70,9 +70,11 @@ def _measured(docs: DataFrame, host: str, window: int, line_docs: int) -> tuple[
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_hash("text").alias("thash"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), "text")
     stats = written(shipped(rows).mapInArrow(_run(window), _SCHEMA), "stats")
     lines = stats.select("doc_id", "thash", "host", F.explode("lines").alias("x")).select("doc_id", "thash", "host", "x.h", "x.w")
-    found = lines.select("host", "h", "thash").distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
-    over = written(found.filter(F.col("n") > line_docs).select("host", "h"), "over")
-    gone = lines.join(over, ["host", "h"]).groupBy("doc_id", "thash", "host").agg(F.collect_set(F.struct("h", "w")).alias("s"))
+    found = lines.groupBy("host", "h", "thash").agg(F.count(F.lit(1)).alias("rows")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
+    over = written(found.filter(F.col("n") > line_docs).select("host", "h", "rows"), "over")
+    total = over.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    over = over.select("host", "h", (F.col("rows") > total / HOT).alias("hot"))
+    gone = among(lines, over, ["host", "h"]).groupBy("doc_id", "thash", "host").agg(F.collect_set(F.struct("h", "w")).alias("s"))
     gone = gone.select(F.col("doc_id").alias("d"), F.col("thash").alias("t"), F.col("host").alias("o"), "s")
     return stats.drop("lines"), gone
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 import pytest
 
 from quarry.llm import decontam, kernels, langid, license, lines, lm, near, packing, pii, quality, queries, sharding
+from quarry.llm.common import among
 
 from . import helpers as H
 
@@ -651,6 +652,29 @@ def test_a_text_of_many_lines(spark):
     assert (got[0]["n_lines"], got[0]["n_dropped"], got[0]["kept_text"]) == (300_000, 0, text) and time.perf_counter() - began < 120
 
 
+def test_hot_keys_are_met_like_others(spark):
+    rows = [(i, "a" if i % 3 else "b", 7 if i < 200 else i % 40) for i in range(400)]
+    keys = [("a", 7, True), ("b", 7, False), ("a", 3, False), ("b", 39, True), ("c", 1, True), ("c", 2, False)]
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = among(spark.createDataFrame(rows, "i long, s string, h long"), spark.createDataFrame(keys, "s string, h long, hot boolean"), ["s", "h"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert sorted(map(tuple, got)) == [r for r in rows if r[1:] in {k[:2] for k in keys}]
+
+
+@pytest.mark.parametrize("hot", [1, 4, 10**9])
+def test_lines_whatever_is_hot(spark, monkeypatch, hot):
+    monkeypatch.setattr(lines, "HOT", hot)
+    monkeypatch.setattr(quality, "HOT", hot)
+    texts = [f"All here\nAll here\nline {i % 4} of some words\nown line {i} that nobody else in this table has got" for i in range(60)]
+    got = {r["doc_id"]: r for r in H.rows(lines.drop_lines(H.frame(spark, list(enumerate(texts)))))}
+    assert all((got[i]["n_dropped"], got[i]["kept_text"]) == (3, t.split("\n")[3]) for i, t in enumerate(texts))
+    docs = spark.createDataFrame([(i, t, "host") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r["removed_words"] for r in quality.quality(docs).collect()} == {9}
+
+
 def test_runs_in_levels(spark):
     runs = lines.LineRuns(spark, limit=3, fanout=2)
     per_batch = [["a", "b"], ["a", "c"], ["a", "c"], ["a", "c", "d"], ["b"]]
