@@ -35,6 +35,8 @@ STRONG = 0.78
 FAR = 0.25
 #: Text of a block in which a family is compared.
 BLOCK_BYTES = 16 << 20
+#: Postings that a comparison reads in one step.
+POSTINGS = 1 << 18
 MASK = (1 << 64) - 1
 
 
@@ -190,32 +192,40 @@ def linker(k: int, threshold: float):
     """In one family or pair of blocks: (key, root), root being the least key that exact links connect."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        keys, docs, items, weights = table["key"].to_numpy(), [], [], []
-        for g in K.groups(table["text"]):
+        keys, texts = table["key"].to_numpy(), table["text"].combine_chunks()
+        n, parts = len(keys), []
+        for g in K.groups(texts):
             d, sh, w, _ = elements(g, k)
-            docs.append(d + g.first)
-            items.append(sh)
-            weights.append(w)
-        d, sh, w = (np.concatenate(x) for x in (docs, items, weights))
-        n = len(keys)
+            parts.append(((d + g.first).astype(np.int32), sh, w.astype(np.int32)))
+        # A block has millions of shingles: what is no longer needed goes before the next array is made.
+        d, sh, w = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        del parts
         total = np.bincount(d, w, n)
         start = np.searchsorted(d, np.arange(n + 1))
-        order = np.argsort(sh, kind="stable")
-        d2, w2, s2 = d[order], w[order], sh[order]
-        new = np.ones(len(s2), bool)
-        new[1:] = s2[1:] != s2[:-1]
-        heads = np.flatnonzero(new)
-        place = np.empty(len(sh), np.int64)
-        place[order] = np.cumsum(new) - 1
-        begin, end = heads, np.append(heads[1:], len(s2))
+        order = np.argsort(sh, kind="stable").astype(np.int32)
+        sh = sh[order]
+        new = np.ones(len(sh), bool)
+        new[1:] = sh[1:] != sh[:-1]
+        del sh
+        begin = np.flatnonzero(new)
+        end = np.append(begin[1:], len(new))
+        place = np.empty(len(new), np.int32)
+        place[order] = np.cumsum(new, dtype=np.int32) - 1
+        d2, w2 = d[order], w[order]
+        del order, new
         parent = np.arange(n)
 
         def compare(x: int) -> np.ndarray:
-            mine = place[start[x] : start[x + 1]]
-            size = end[mine] - begin[mine]
-            at = np.repeat(begin[mine] - np.cumsum(size) + size, size) + np.arange(size.sum())
-            both = np.bincount(d2[at], np.minimum(w2[at], np.repeat(w[start[x] : start[x + 1]], size)), n)
+            mine, own = place[start[x] : start[x + 1]], w[start[x] : start[x + 1]]
+            ends = np.cumsum(end[mine] - begin[mine])
+            both, a = np.zeros(n), 0
+            while a < len(mine):  # postings in steps
+                z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + POSTINGS, "right")))
+                first = begin[mine[a:z]]
+                size = end[mine[a:z]] - first
+                at = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                both += np.bincount(d2[at], np.minimum(w2[at], np.repeat(own[a:z], size)), n)
+                a = z
             return np.flatnonzero(both * (1 + threshold) >= threshold * (total + total[x]) - 1e-9)
 
         popular = np.bincount(d, (end - begin)[place], n) / np.maximum(total, 1)
