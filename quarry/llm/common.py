@@ -8,6 +8,7 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 #: Rows of at most a few dozen bytes up to which a counted side of a join is broadcast (some 30 MB).
 BROADCAST_ROWS = 500_000
 
+#: Arrow batches of tables that are written; 10,000 long texts would be held twice by the executor and by Python.
+BATCH_BYTES = 4 << 20
+
 #: The characters that part words, and the upper-case letters that are folded.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,10 +55,25 @@ def drop_path(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Within it, Arrow batches that go to Python end at BATCH_BYTES (or with a longer row) if the session sets no bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is not None:
+        yield
+        return
+    spark.conf.set(name, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows of df as a table in the shared folder: computed once, and safe from lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
